@@ -25,7 +25,7 @@ def _blocks(start: Column, end: Column) -> Column:
     """Array of (level, block, covers): cover blocks and their enclosing blocks."""
 
     def at_level(level: Column) -> Column:
-        size = F.shiftleft(F.lit(1).cast("long"), level)
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
         low = F.floor((start + size - 1) / size)
         high = F.floor((end + 1) / size)
         first, last = F.floor(start / size), F.floor(end / size)

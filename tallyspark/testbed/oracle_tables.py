@@ -114,8 +114,8 @@ CTES = {
     "calls_per": "SELECT request_id, count(*) AS calls FROM tool_call GROUP BY 1",
     "edits_per": "SELECT request_id, sum(edit_count) AS edits, max(CASE WHEN done AND edit_count > 0 THEN 1 ELSE 0 END) AS finished FROM edit GROUP BY 1",
     "complexity": """
-  SELECT r.request_id, coalesce(rounds, 0) * 2 + coalesce(calls, 0) + 3 * coalesce(edits, 0)
-     + coalesce(thinking, 0) / 500.0 + output_tokens / 500.0 AS score
+  SELECT r.request_id, CAST(coalesce(rounds, 0) * 1000 + coalesce(calls, 0) * 500 + 1500 * coalesce(edits, 0)
+     + coalesce(thinking, 0) + output_tokens AS DOUBLE) / 500 AS score
   FROM request r LEFT JOIN rounds_per USING (request_id) LEFT JOIN calls_per USING (request_id)
     LEFT JOIN edits_per USING (request_id)""",
 }
