@@ -50,32 +50,41 @@ def _blocks(start: Column, end: Column) -> Column:
 
 
 def first_overlapping(
-    ranges: DataFrame, keys: Sequence[str], start: str, end: str, label: str, name: str
+    ranges: DataFrame,
+    keys: Sequence[str],
+    inner: str,
+    start: str,
+    end: str,
+    label: str,
+    inner_name: str,
+    name: str,
 ) -> DataFrame:
-    """Add the smallest `label` among the ranges of the same key that overlap each range.
+    """Smallest `label` among the ranges of the same key that overlap each range.
 
-    Every range overlaps itself, so a range with no earlier neighbour gets its own label.
-    `ranges` should already be distinct per (keys, start, end).
+    `name` looks at all ranges of `keys`, `inner_name` only at those that also share
+    `inner`. Every range overlaps itself, so a range with no earlier neighbour gets its
+    own label. `ranges` should be distinct per (keys, inner, start, end).
     """
-    keys = list(keys)
-    listed = ranges.withColumn("_at", F.explode(_blocks(F.col(start), F.col(end)))).select(
-        *keys,
-        start,
-        end,
-        label,
+    node = [*keys, "_level", "_block"]
+    columns = [*keys, inner, start, end, label]
+    listed = ranges.select(*columns, F.explode(_blocks(F.col(start), F.col(end))).alias("_at")).select(
+        *columns,
         F.col("_at.level").alias("_level"),
         F.col("_at.block").alias("_block"),
         F.col("_at.covers").alias("_covers"),
     )
-    node = [*keys, "_level", "_block"]
-    smallest = listed.groupBy(*node).agg(
+    within = listed.groupBy(*node, inner).agg(
         F.min(label).alias("_any"),
         F.min(F.when(F.col("_covers"), F.col(label))).alias("_cover"),
     )
+    overall = within.groupBy(*node).agg(
+        F.min("_any").alias("_any_all"), F.min("_cover").alias("_cover_all")
+    )
     # A cover block meets every range listed under it; an enclosing block meets covers only.
-    found = (
-        listed.join(smallest, node)
-        .groupBy(*keys, start, end)
-        .agg(F.min(F.when(F.col("_covers"), F.col("_any")).otherwise(F.col("_cover"))).alias(name))
+    pick = lambda any_, cover: F.min(F.when(F.col("_covers"), F.col(any_)).otherwise(F.col(cover)))
+    return (
+        listed.join(within, [*node, inner])
+        .join(overall, node)
+        .groupBy(*keys, inner, start, end)
+        .agg(pick("_any", "_cover").alias(inner_name), pick("_any_all", "_cover_all").alias(name))
     )
-    return ranges.join(found, [*keys, start, end])

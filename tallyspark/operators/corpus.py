@@ -9,10 +9,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.intervals import TOP, bounded
 from ..session import materialise
 from .pricing import derive_rate_card, price_requests, spend
 
 
+# Tools whose result is the content of a file.
+READ_TOOLS = ("read_file", "get_errors")
+
+
 @dataclass
 class Corpus:
     request: DataFrame
@@ -54,6 +59,38 @@ class Corpus:
         """Tool calls with the session and time of their request."""
         return tool_calls_of_requests(self.tool_call, self.request, self.by)
 
+    @cached_property
+    def read_calls(self) -> DataFrame:
+        """Read calls with a known file, their line range and their place in the session.
+
+        Written once, because the re-read scan groups, semi-joins and as-of-joins it.
+        """
+        reads = self.calls.where(
+            F.col("name").isin(*READ_TOOLS) & F.col("target_file_hash").isNotNull()
+        )
+        return materialise(
+            reads.select(
+                *self.by,
+                "request_id",
+                "session_id",
+                F.col("target_file_hash").alias("file_hash"),
+                "ts",
+                F.coalesce("result_chars", F.lit(0)).alias("chars"),
+                bounded(F.coalesce("target_start_line", F.lit(0))).alias("start"),
+                bounded(F.coalesce("target_end_line", F.lit(TOP))).alias("end"),
+                F.struct("ts", "request_id", "round_id", "tool_call_id").alias("place"),
+                (F.col("target_start_line").isNull() & F.col("target_end_line").isNull()).alias(
+                    "whole_file"
+                ),
+            )
+        )
+
+    @cached_property
+    def rereads(self) -> DataFrame:
+        from .waste.rereads import scan_rereads
+
+        return scan_rereads(self)
+
     @cached_property
     def round_counts(self) -> DataFrame:
         """Rounds per request, for requests that have any."""

@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.ordered import row_numbers
 from ...functions.quantiles import med_upper, q_ceil, q_floor, rank_pick
 from ...functions.scalars import tokens_from_chars
 from ...session import attach, join_dimension, materialise
-from ..corpus import Corpus
+from ..corpus import READ_TOOLS, Corpus
 from ..duplication import MIN_GROUP_SIZE, detect_duplication, duplication_summary
 from ..pricing import cheapest_measured, find_rates
 from .complexity import LOW_SHARE, complexity_scores
 from .findings import confidence, finding, item, percent, worst
-from .rereads import READ_TOOLS, read_calls, scan_rereads
 
 HOUR_MS = 3_600_000
 SETTLING_MS = 2 * HOUR_MS
-per_token = F.col("credits_per_token")
+
+
+def per_token() -> Column:
+    return F.col("credits_per_token")
 
 
 def centre_tokens(corpus: Corpus, label: str) -> DataFrame:
@@ -55,7 +57,7 @@ def tool_definition_tax(corpus: Corpus) -> DataFrame:
     return finding(
         stats, by, "W1", "A",
         F.concat(F.lit("Tool descriptions are "), percent(share), F.lit(" of every prompt")),
-        F.col("rare_tools") * each * per_token,
+        F.col("rare_tools") * each * per_token(),
         confidence(F.col("requests"), 30, share / 0.25),
         [item("tool", "ALL", F.col("requests"), F.col("defined")),
          item("tool", "APPORTIONMENT", F.col("tools"), each)],
@@ -66,8 +68,8 @@ def tool_definition_tax(corpus: Corpus) -> DataFrame:
 def duplicate_retrieval(corpus: Corpus) -> DataFrame:
     """W2: characters of reads already in context, with no edit in between."""
     by = corpus.by
-    scan = scan_rereads(corpus)
-    reads = read_calls(corpus).groupBy(*by).agg(F.count(F.lit(1)).alias("reads"))
+    scan = corpus.rereads
+    reads = corpus.read_calls.groupBy(*by).agg(F.count(F.lit(1)).alias("reads"))
     found = scan.groupBy(*by).agg(
         F.count(F.when(F.col("duplicate"), 1)).alias("duplicates"),
         F.count(F.when(~F.col("duplicate"), 1)).alias("refreshed"),
@@ -87,7 +89,7 @@ def duplicate_retrieval(corpus: Corpus) -> DataFrame:
     return finding(
         stats, by, "W2", "B",
         F.concat(percent(rate), F.lit(" of file reads fetched content already in context")),
-        tokens_from_chars(F.col("chars")) * per_token,
+        tokens_from_chars(F.col("chars")) * per_token(),
         confidence(F.col("reads"), 50, rate / 0.3),
         [item("file", "ALL", F.col("duplicates"), F.col("reads")),
          item("file", "REFRESHED", F.col("refreshed"))],
@@ -132,7 +134,7 @@ def oversized_payloads(corpus: Corpus) -> DataFrame:
         stats, by, "W3", "B",
         F.concat(F.lit("A single "), F.col("largest.name"), F.lit(" result cost ~"),
                  tokens_from_chars(F.col("largest.result_chars")).cast("string"), F.lit(" tokens")),
-        tokens_from_chars(F.col("chars")) * per_token,
+        tokens_from_chars(F.col("chars")) * per_token(),
         confidence(F.col("measured"), 200, F.col("offenders") / (F.col("measured") * 0.01)),
         item("tool", "ALL", F.col("offenders"), F.col("chars")),
         listed,
@@ -195,7 +197,7 @@ def session_staleness(corpus: Corpus) -> DataFrame:
         stats, by, "W4", "C",
         F.concat(F.lit("Long-running chats carried "), F.round("excess").cast("long").cast("string"),
                  F.lit(" tokens of accumulated history")),
-        F.col("excess") * per_token,
+        F.col("excess") * per_token(),
         confidence(F.col("stale"), 40, F.col("offenders") / F.greatest(F.lit(1), F.col("sessions"))),
         item("session", "ALL", F.col("offenders"), F.col("excess")),
         listed,
@@ -440,7 +442,7 @@ def compaction_overhead(corpus: Corpus) -> DataFrame:
         stats, by, "W9", "C",
         F.concat(F.lit("Automatic summarisation cost "), F.round(hours, 1).cast("string"),
                  F.lit(" hours of waiting")),
-        F.col("tokens") * per_token,
+        F.col("tokens") * per_token(),
         confidence(F.col("events"), 10, F.lit(0.9)),
         [item("request", "ALL", F.col("events"), F.col("median_wait_ms")),
          item("request", "FAILED", F.col("failed"))],
@@ -489,7 +491,7 @@ def instruction_bloat(corpus: Corpus) -> DataFrame:
     return finding(
         stats, by, "W10", "C",
         F.concat(F.lit("Standing instructions grew "), percent(growth), F.lit(" and are re-sent every request")),
-        F.col("excess") * per_token,
+        F.col("excess") * per_token(),
         confidence(F.col("n"), 200, growth),
         [item("request", "BASELINE", F.col("n") - F.col("later"), F.col("baseline")),
          item("request", "CURRENT", F.col("later"), F.col("current")),
@@ -552,7 +554,7 @@ def reference_leakage(corpus: Corpus) -> DataFrame:
     return finding(
         stats, by, "W11", "B",
         F.concat(percent(rate), F.lit(" of files shown to the model were never opened")),
-        F.col("tokens") * per_token,
+        F.col("tokens") * per_token(),
         confidence(F.col("judged"), 200, rate / 0.6),
         [item("file", "ALL", F.col("unopened"), F.col("judged")),
          item("file", "UNPRICEABLE", F.col("unpriceable"))],

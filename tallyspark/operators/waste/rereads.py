@@ -5,33 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.intervals import TOP, bounded, first_overlapping
+from ...functions.intervals import first_overlapping
 from ...functions.ordered import latest_before
+from ...session import materialise
 from ..corpus import Corpus
 
-READ_TOOLS = ("read_file", "get_errors")
-
-
-def read_calls(corpus: Corpus) -> DataFrame:
-    """Read calls with a known file, their line range and their place in the session."""
-    return (
-        corpus.calls.where(
-            F.col("name").isin(*READ_TOOLS) & F.col("target_file_hash").isNotNull()
-        )
-        .select(
-            *corpus.by,
-            "request_id",
-            "session_id",
-            F.col("target_file_hash").alias("file_hash"),
-            "ts",
-            F.coalesce("result_chars", F.lit(0)).alias("chars"),
-            bounded(F.coalesce("target_start_line", F.lit(0))).alias("start"),
-            bounded(F.coalesce("target_end_line", F.lit(TOP))).alias("end"),
-            F.struct("ts", "request_id", "round_id", "tool_call_id").alias("place"),
-        )
-    )
-
-
 def scan_rereads(corpus: Corpus) -> DataFrame:
     """Read calls overlapping an earlier read of the same session and file.
 
@@ -43,22 +21,23 @@ def scan_rereads(corpus: Corpus) -> DataFrame:
     """
     by = corpus.by
     keys = [*by, "session_id", "file_hash"]
-    reads = read_calls(corpus)
+    reads = corpus.read_calls
     # A file read once in a session cannot be re-read.
     often = reads.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     reads = reads.join(often.drop("_n"), keys, "left_semi")
     request = corpus.request.select(*by, "request_id", "session_id", "ts")
     edits = corpus.edit.join(request, [*by, "request_id"]).select(*keys, "ts").distinct()
-    reads = latest_before(reads, edits, keys, "ts", "last_edit").withColumn(
-        "epoch", F.coalesce("last_edit", F.lit(-1).cast("long"))
+    # Written once: the ranges and the final marking both read it.
+    reads = materialise(
+        latest_before(reads, edits, keys, "ts", "last_edit").withColumn(
+            "epoch", F.coalesce("last_edit", F.lit(-1).cast("long"))
+        )
     )
     ranges = reads.groupBy(*keys, "epoch", "start", "end").agg(F.min("place").alias("place"))
-    same = first_overlapping(ranges, [*keys, "epoch"], "start", "end", "place", "first_in_epoch")
-    overall = ranges.groupBy(*keys, "start", "end").agg(F.min("place").alias("place"))
-    ever = first_overlapping(overall, keys, "start", "end", "place", "first_ever")
-    marked = reads.join(
-        same.select(*keys, "epoch", "start", "end", "first_in_epoch"), [*keys, "epoch", "start", "end"]
-    ).join(ever.select(*keys, "start", "end", "first_ever"), [*keys, "start", "end"])
+    first = first_overlapping(
+        ranges, keys, "epoch", "start", "end", "place", "first_in_epoch", "first_ever"
+    )
+    marked = reads.join(first, [*keys, "epoch", "start", "end"])
     return marked.where(F.col("first_ever") < F.col("place")).select(
         *by,
         "request_id",

@@ -10,7 +10,6 @@ from ..operators import tools as TL
 from ..operators.corpus import Corpus
 from ..operators.waste import complexity as CX
 from ..operators.waste import detectors as D
-from ..operators.waste import rereads as RR
 from .registry import query, rounded
 
 
@@ -141,7 +140,7 @@ SELECT request_id, session_id, file_hash, count(*) AS rereads, count(*) FILTER (
   CAST(sum(chars) AS BIGINT) AS chars FROM rereads GROUP BY 1, 2, 3""",
     reads=READS, edit_times=EDIT_TIMES, rereads=REREADS)
 def _(t):
-    return RR.scan_rereads(corpus_of(t)).groupBy("request_id", "session_id", "file_hash").agg(
+    return corpus_of(t).rereads.groupBy("request_id", "session_id", "file_hash").agg(
         F.count(F.lit(1)).alias("rereads"), F.count(F.when(F.col("duplicate"), 1)).alias("duplicates"),
         F.sum("chars").alias("chars"),
     )
