@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
+_MERGE = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product}
 
 
 def value_bucket(value: Column, per_octave: int = 32) -> Column:
@@ -30,12 +30,14 @@ def running(
     order: Sequence[Column],
     measures: dict[str, tuple[str, Column]],
     reverse: bool = False,
+    exclusive: bool = False,
 ) -> DataFrame:
     """Add running aggregates per key, computed chunk by chunk.
 
-    `measures` maps an output name to ("sum" | "min" | "max", expression). `order` must
-    be ascending expressions consistent with `chunk`; with `reverse` the frame runs
-    from the last row back to the current one.
+    `measures` maps an output name to ("sum" | "min" | "max" | "product", expression).
+    `order` must be ascending expressions consistent with `chunk`; with `reverse` the
+    frame runs from the last row back to the current one, and with `exclusive` it leaves
+    the current row out.
     """
     by = list(by)
     rows = df.withColumn("_chunk", chunk)
@@ -59,13 +61,15 @@ def running(
     within = (
         Window.partitionBy(*by, "_chunk")
         .orderBy(*[o.desc() if reverse else o.asc() for o in order])
-        .rowsBetween(Window.unboundedPreceding, 0)
+        .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     )
     out = rows.join(carries, [*by, "_chunk"])
     for name, (kind, _) in measures.items():
         local, carry = _MERGE[kind](f"_in_{name}").over(within), F.col(f"_carry_{name}")
         if kind == "sum":
             merged = F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
+        elif kind == "product":
+            merged = F.coalesce(local, F.lit(1.0)) * F.coalesce(carry, F.lit(1.0))
         else:
             merged = (F.least if kind == "min" else F.greatest)(local, carry)
         out = out.withColumn(name, merged)
