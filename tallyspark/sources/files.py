@@ -91,7 +91,7 @@ def otel_counts(turns: DataFrame) -> DataFrame:
 
 def _csv_parts(lines: DataFrame) -> DataFrame:
     text = F.trim("value")
-    parts = F.transform(F.split(text, ","), F.trim)
+    parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
     return lines.where((text != "") & ~text.startswith("#")).select(
         "*", *[F.try_element_at(parts, F.lit(n)).alias(f"_{n}") for n in (1, 2, 3)]
     ).where(F.col("_1") != "")

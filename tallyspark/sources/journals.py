@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordered import running
@@ -86,29 +86,40 @@ def split_lines(files: DataFrame) -> DataFrame:
 
 def parse_envelopes(lines: DataFrame) -> DataFrame:
     """Add `kind` (null when unusable), `k` and `v` as JSON text, and what went wrong."""
-    parsed = lines.withColumn("_j", F.try_parse_json("line"))
-    part = lambda path: F.try_variant_get("_j", path, "variant")
-    type_of = lambda path: F.schema_of_variant(part(path))
-    number = type_of("$.kind").isin("BIGINT", "DOUBLE") | type_of("$.kind").startswith("DECIMAL")
-    kind = F.when(number, F.try_variant_get("_j", "$.kind", "double"))
-    path_ok = type_of("$.k").isin("ARRAY<VOID>", "ARRAY<STRING>", "ARRAY<BIGINT>", "ARRAY<VARIANT>")
+
+    def read(j: Column) -> Column:
+        part = lambda path: F.try_variant_get(j, path, "variant")
+        type_of = lambda path: F.schema_of_variant(part(path))
+        return F.struct(
+            j.isNull().alias("malformed"),
+            type_of("$.kind").alias("kind_type"),
+            F.try_variant_get(j, "$.kind", "double").alias("kind_value"),
+            type_of("$.k").alias("k_type"),
+            type_of("$.v").alias("v_type"),
+            F.to_json(part("$.k")).alias("k"),
+            F.to_json(part("$.v")).alias("v"),
+            F.try_variant_get(j, "$.v.sessionId", "string").alias("snapshot_session"),
+            F.when(type_of("$.k[1]") == "BIGINT", F.try_variant_get(j, "$.k[1]", "int")).alias("index"),
+            F.try_variant_get(j, "$.k[0]", "string").alias("field"),
+            F.size(F.try_variant_get(j, "$.k", "array<variant>")).alias("depth"),
+        )
+
+    # Exploding a one-element array keeps Spark from parsing the line again per column.
+    once = F.explode(F.transform(F.array(F.try_parse_json("line")), read)).alias("e")
+    parsed = lines.select("path", "offset", once).select("path", "offset", "e.*")
+    number = F.col("kind_type").isin("BIGINT", "DOUBLE") | F.col("kind_type").startswith("DECIMAL")
+    kind = F.when(number, F.col("kind_value"))
+    path_ok = F.col("k_type").isin("ARRAY<VOID>", "ARRAY<STRING>", "ARRAY<BIGINT>", "ARRAY<VARIANT>")
     usable = (
         F.when(kind == 0, 0)
         .when((kind == 1) & path_ok, 1)
-        .when((kind == 2) & path_ok & type_of("$.v").startswith("ARRAY"), 2)
+        .when((kind == 2) & path_ok & F.col("v_type").startswith("ARRAY"), 2)
     )
+    problem = F.when(F.col("malformed"), "malformed").when(usable.isNull(), "unrecognised")
     return parsed.select(
-        "path",
-        "offset",
-        usable.alias("kind"),
-        F.to_json(part("$.k")).alias("k"),
-        F.to_json(part("$.v")).alias("v"),
-        F.when(F.col("_j").isNull(), "malformed").when(usable.isNull(), "unrecognised").alias("problem"),
-        F.try_variant_get("_j", "$.v.sessionId", "string").alias("snapshot_session"),
-        F.when(type_of("$.k[1]") == "BIGINT", F.try_variant_get("_j", "$.k[1]", "int")).alias("index"),
-        F.try_variant_get("_j", "$.k[0]", "string").alias("field"),
-        F.try_variant_get("_j", "$.k", "array<variant>").alias("_k"),
-    ).withColumn("depth", F.size("_k")).drop("_k")
+        "path", "offset", usable.alias("kind"), "k", "v", problem.alias("problem"),
+        "snapshot_session", "index", "field", "depth",
+    )
 
 
 def journal_stats(envelopes: DataFrame) -> DataFrame:

@@ -54,3 +54,8 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def point_lookup(requests: DataFrame, request_id: str) -> DataFrame:
     """A request back to its file and byte offset; the filter reaches the Parquet scan."""
     return requests.where(F.col("request_id") == request_id)
+
+
+def version_of(batch: int):
+    """Version column of an ingest batch."""
+    return F.lit(batch).cast("long")

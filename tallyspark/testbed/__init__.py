@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_ledger", "q_waste", "q_simulate", "q_outcomes", "q_causal", "q_fleet", "q_sources")
+MODULES = ("q_ledger", "q_waste", "q_simulate", "q_outcomes", "q_causal", "q_fleet", "q_sources", "q_streaming")
 
 
 def registered():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import materialise
 from ..sources import files as FI
 from ..sources import git as G
 from ..sources import journals as J
@@ -45,7 +46,7 @@ def t_ms(column):
 
 
 def normalised(t):
-    env = J.parse_envelopes(journal_lines(t))
+    env = materialise(J.parse_envelopes(journal_lines(t).repartition(8)))
     return N.normalise_requests(J.replay_journal(env), J.session_ids(env), SALT)
 
 
