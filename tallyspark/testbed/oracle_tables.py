@@ -19,7 +19,7 @@ CTES = {
   FROM orders""",
     "lines": """
   SELECT CAST(l_orderkey AS VARCHAR) AS request_id,
-    l_linenumber || '-' || l_partkey || '-' || l_suppkey AS call_id,
+    l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(floor(l_extendedprice) AS BIGINT) AS call_id,
     'f' || (l_partkey % 50) AS file, * FROM lineitem""",
     "cost_centre": """
   SELECT p.request_id, p.label, p.part * 100.0 / w.whole AS percentage_of_prompt,

@@ -54,7 +54,7 @@ class Testbed:
 
     @cached_property
     def _lines(self) -> DataFrame:
-        call = F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey")
+        call = F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.floor("l_extendedprice"))
         return self.raw("lineitem").select(
             F.col("l_orderkey").cast("string").alias("request_id"),
             call.alias("call_id"),
