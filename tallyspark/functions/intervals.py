@@ -13,15 +13,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEVELS = 31
-TOP = 2**LEVELS - 1
+TOP = 2**31 - 1
 
 
 def bounded(line: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(TOP), line)).cast("long")
 
 
-def _blocks(start: Column, end: Column) -> Column:
+def clipped(end: Column, reach: Column) -> Column:
+    """End of a range cut just past `reach`, the last finite line of its key.
+
+    All ranges of the key start at or before `reach`, so no overlap appears or vanishes,
+    and the blocks of the key need fewer levels.
+    """
+    return F.least(end, reach + 1)
+
+
+def levels_for(reach: Column) -> Column:
+    """Block levels that span lines 0 to reach + 1."""
+    return F.ceil(F.log2(reach + F.lit(2))).cast("int")
+
+
+def _blocks(start: Column, end: Column, levels: Column) -> Column:
     """Array of (level, block, covers): cover blocks and their enclosing blocks."""
 
     def at_level(level: Column) -> Column:
@@ -46,7 +59,7 @@ def _blocks(start: Column, end: Column) -> Column:
             )
         )
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at_level))
+    return F.flatten(F.transform(F.sequence(F.lit(0), levels), at_level))
 
 
 def first_overlapping(
@@ -58,16 +71,18 @@ def first_overlapping(
     label: str,
     inner_name: str,
     name: str,
+    levels: str,
 ) -> DataFrame:
     """Smallest `label` among the ranges of the same key that overlap each range.
 
     `name` looks at all ranges of `keys`, `inner_name` only at those that also share
     `inner`. Every range overlaps itself, so a range with no earlier neighbour gets its
-    own label. `ranges` should be distinct per (keys, inner, start, end).
+    own label. `ranges` should be distinct per (keys, inner, start, end); `levels` is a
+    column with the block levels of the key.
     """
     node = [*keys, "_level", "_block"]
     columns = [*keys, inner, start, end, label]
-    listed = ranges.select(*columns, F.explode(_blocks(F.col(start), F.col(end))).alias("_at")).select(
+    listed = ranges.select(*columns, F.explode(_blocks(F.col(start), F.col(end), F.col(levels))).alias("_at")).select(
         *columns,
         F.col("_at.level").alias("_level"),
         F.col("_at.block").alias("_block"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.intervals import first_overlapping
+from ...functions.intervals import TOP, clipped, first_overlapping, levels_for
 from ...functions.ordered import latest_before
 from ...session import materialise
 from ..corpus import Corpus
@@ -23,8 +23,18 @@ def scan_rereads(corpus: Corpus) -> DataFrame:
     keys = [*by, "session_id", "file_hash"]
     reads = corpus.read_calls
     # A file read once in a session cannot be re-read.
-    often = reads.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    reads = reads.join(often.drop("_n"), keys, "left_semi")
+    finite = F.greatest(F.col("start"), F.when(F.col("end") < TOP, F.col("end")))
+    often = (
+        reads.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), F.max(finite).alias("_reach"))
+        .where(F.col("_n") > 1)
+    )
+    reads = (
+        reads.join(often.drop("_n"), keys)
+        .withColumn("end", clipped(F.col("end"), F.col("_reach")))
+        .withColumn("levels", levels_for(F.col("_reach")))
+        .drop("_reach")
+    )
     request = corpus.request.select(*by, "request_id", "session_id", "ts")
     edits = corpus.edit.join(request, [*by, "request_id"]).select(*keys, "ts").distinct()
     # Written once: the ranges and the final marking both read it.
@@ -33,9 +43,9 @@ def scan_rereads(corpus: Corpus) -> DataFrame:
             "epoch", F.coalesce("last_edit", F.lit(-1).cast("long"))
         )
     )
-    ranges = reads.groupBy(*keys, "epoch", "start", "end").agg(F.min("place").alias("place"))
+    ranges = reads.groupBy(*keys, "epoch", "start", "end", "levels").agg(F.min("place").alias("place"))
     first = first_overlapping(
-        ranges, keys, "epoch", "start", "end", "place", "first_in_epoch", "first_ever"
+        ranges, keys, "epoch", "start", "end", "place", "first_in_epoch", "first_ever", "levels"
     )
     marked = reads.join(first, [*keys, "epoch", "start", "end"])
     return marked.where(F.col("first_ever") < F.col("place")).select(

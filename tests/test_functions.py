@@ -70,7 +70,8 @@ def test_overlaps_match_pairwise_comparison(spark):
         rows.setdefault((rng.randrange(2), rng.randrange(3), start, end), rng.randrange(10_000))
     data = [(*k, v) for k, v in rows.items()]
     df = spark.createDataFrame(data, "k int, e int, s long, t long, label long")
-    out = first_overlapping(df, ["k"], "e", "s", "t", "label", "inner_first", "first").collect()
+    df = df.withColumn("levels", F.lit(31))
+    out = first_overlapping(df, ["k"], "e", "s", "t", "label", "inner_first", "first", "levels").collect()
     assert len(out) == len(data)
     for r in out:
         hits = [(e, v) for k, e, s, t, v in data if k == r["k"] and s <= r["t"] and r["s"] <= t]
