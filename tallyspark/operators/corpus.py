@@ -87,9 +87,10 @@ class Corpus:
 
     @cached_property
     def rereads(self) -> DataFrame:
+        """Re-reads, written once: detectors and levers group them in several ways."""
         from .waste.rereads import scan_rereads
 
-        return scan_rereads(self)
+        return materialise(scan_rereads(self))
 
     @cached_property
     def round_counts(self) -> DataFrame:

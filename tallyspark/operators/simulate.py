@@ -354,7 +354,8 @@ def simulation_report(corpus: Corpus, policy: Policy) -> DataFrame:
         return baseline.withColumn("requests_affected", F.lit(0).cast("long")).withColumns(
             {**zero, **{f"reduction_{b}": F.lit(0.0) for b in BANDS}, **{c: F.lit(0.0) for c in extra}}
         )
-    # One pass over the priced changes gives both groupings.
+    # Written once: the combined and the single-lever groupings both read the changes.
+    changes = materialise(changes)
     combined = replay(corpus, changes).groupBy(*by).agg(
         F.count(F.lit(1)).alias("requests_affected"),
         *[F.sum(f"saved_{b}").alias(f"saved_{b}") for b in BANDS],
