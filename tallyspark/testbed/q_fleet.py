@@ -288,9 +288,20 @@ def _(t):
     return R.coverage_report(corpus_of(t)).select("subject")
 
 
-@query("d15_residual_probes")
+FIRST = """SELECT session_id, target_file_hash AS f, arg_min(target_start_line IS NULL AND target_end_line IS NULL, (ts, request_id, round_id, tool_call_id)) AS whole
+  FROM calls WHERE name IN ('read_file', 'get_errors') AND target_file_hash IS NOT NULL GROUP BY 1, 2"""
+PROBES = """SELECT 'w2-whole-file-first-reads' AS probe, avg(CASE WHEN whole THEN 1.0::DOUBLE ELSE 0 END) AS value, count(*) AS sample_size, 0.35::DOUBLE AS threshold, 30 AS minimum_sample FROM first_read
+  UNION ALL SELECT 'w3-sub-cap-oversize', avg(CASE WHEN len(s) >= 10 AND s[len(s) // 2 + 1] > 0 AND result_chars > 3 * s[len(s) // 2 + 1] AND result_chars <= 16000 THEN 1.0::DOUBLE ELSE 0 END), count(*), 0.1, 50
+    FROM tool_call JOIN (SELECT name, list(result_chars ORDER BY result_chars) FILTER (result_chars IS NOT NULL) AS s FROM tool_call GROUP BY 1) USING (name) WHERE result_chars IS NOT NULL
+  UNION ALL SELECT 'w8-cross-developer-repeats', sum(CASE WHEN people > 1 THEN c * (n - 1) / n ELSE 0 END) / sum(c), count(*), 0.05, 200 FROM (SELECT count(DISTINCT asked_by) AS people, count(*) AS n, sum(credits) AS c FROM question GROUP BY question_hash)
+  UNION ALL SELECT 'w11-unopened-references', avg(CASE WHEN o.f IS NULL THEN 1.0::DOUBLE ELSE 0 END), count(*), 0.4, 50 FROM content_reference c JOIN request r USING (request_id)
+    LEFT JOIN first_read o ON o.session_id = r.session_id AND o.f = c.file_hash"""
+
+
+@query("d15_residual_probes", """SELECT probe, round(value, 6) AS value, sample_size, threshold, minimum_sample, sample_size >= minimum_sample AS sufficient,
+  sample_size >= minimum_sample AND value > threshold AS exceeded FROM probes""", first_read=FIRST, probes=PROBES)
 def _(t):
-    return R.residual_probes(corpus_of(t))
+    return rounded(R.residual_probes(corpus_of(t)), 6)
 
 
 @query("v14_first_reads", """SELECT session_id, file_hash, arg_min(chars, seq) AS chars, arg_min(whole, seq) AS whole_file FROM (

@@ -46,7 +46,7 @@ def t_ms(column):
 
 
 def normalised(t):
-    env = materialise(J.parse_envelopes(journal_lines(t).repartition(8)))
+    env = materialise(J.parse_envelopes(journal_lines(t).repartition(t.spark.sparkContext.defaultParallelism, "path", "offset")))
     return N.normalise_requests(J.replay_journal(env), J.session_ids(env), SALT)
 
 
