@@ -17,10 +17,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs of 50 words or more; those of which nothing is left go."""
-    cut = lines.drop_repeated_lines(docs)
-    left = (F.size("removed") == 0) | (F.length(F.trim(F.col("text"))) > 0)
-    length = F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.where(left).withColumn("n_chars", length).drop("removed").select(docs.columns)
+    cut = lines.drop_repeated_lines(docs, removed="__cut")
+    left = (F.size("__cut") == 0) | (F.length(F.trim(F.col("text"))) > 0)
+    length = F.when(F.size("__cut") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.where(left).withColumn("n_chars", length).select(docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

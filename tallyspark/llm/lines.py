@@ -2,14 +2,18 @@
 
 The lines of all documents form one sequence in the order of documents. A line that occurs once ends
 every repeated run, so only stretches of repeated lines with enough words are kept (segments). Doubling
-names each block of 2^k lines by its two halves; equal names are equal blocks, which are the groups of
-suffixes that share a prefix of 2^k lines. The longest prefix that a position shares with an earlier one
-(the deepest LCP interval with an earlier suffix) is then found from the largest power downwards: a
-prefix is extended by 2^k lines where the longer block has an earlier copy. Runs with enough words that
-have an earlier copy are deleted; the first copy stays.
-
-Blocks never leave their document. Every global step is a grouped minimum, pre-aggregated, and an
-equality join that adaptive execution can split where one block is very common.
+names each block of 2^k lines by its two halves, so that the suffixes that share a prefix, an LCP interval,
+are those with equal names of that prefix.
+
+A run is deleted if it has `min_words` words and an earlier copy. Two depths per line decide that for runs
+of any length: the shortest prefix with enough words of the suffix that begins at the line, and the same
+backwards for what ends at it. A line lies in a run to be deleted exactly if one of these windows that hold
+it has an earlier copy: either enough words of the run end at the line, and its backward window lies in the
+run; or they do not, and the forward window of the run's first line reaches past it. Equal windows have
+equal lengths and names wherever they stand, so one grouped minimum finds the first copy of each.
+
+Blocks never leave their document. The global step is a grouped minimum, pre-aggregated, and an equality
+join that adaptive execution can split where one window is very common.
 """
 
 from __future__ import annotations
@@ -60,56 +64,47 @@ def _doubled(level: Column, step: int) -> Column:
     return F.transform(starts, pair)
 
 
-def _block(levels: Column, top: int, i: Column, length: Column) -> Column:
-    """Name and words of the block of `length` lines at i, put together from its powers of two."""
+def _window(levels: Column, top: int, i: Column, min_words: int) -> Column:
+    """Name and length of the shortest block at i with enough words; its name is null where none is long enough."""
     sizes = F.array(*[F.lit(1 << k) for k in range(top + 1)])
-    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("w"), i.cast("int").alias("at"))
-
-    def step(acc, k):
-        size = sizes[k]
-        x = F.get(levels[k], acc["at"])  # null past the end: rows that do not fit are filtered in any order
-        longer = F.struct(*_name(acc["a"], acc["b"], x["a"], x["b"]), (acc["w"] + x["w"]).alias("w"), (acc["at"] + size).alias("at"))
-        return F.when(length.bitwiseAND(size) != 0, longer).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(top), F.lit(0), F.lit(-1)), start, step)
-
-
-def earlier_runs(found: DataFrame) -> tuple[DataFrame, int]:
-    """Segments with their doubled blocks and, for each position, the longest block that has an earlier copy.
-
-    Returns (at, doc_id, text_hash, first, n, levels, run), and the highest level.
-    """
-    placed = row_numbers(found, ["doc_id", "text_hash", "first"], "at", "n")
-    longest = placed.agg(F.max("n").alias("n")).first()["n"] or 0
-    top = max(0, longest.bit_length() - 1)
-    levels = [F.transform("lines", lambda x: F.struct(x["a"], x["b"], x["w"]))]
-    table = placed.withColumn("l0", levels[0])
-    for k in range(top):
-        table = table.withColumn(f"l{k + 1}", _doubled(F.col(f"l{k}"), 1 << k))
-    table = table.withColumn("levels", F.array(*[F.col(f"l{k}") for k in range(top + 1)]))
-    table = written(table.select("at", "doc_id", "text_hash", "first", "n", "levels"))
-    runs = table.select("at", F.array_repeat(F.lit(0), F.col("n")).alias("run"))
-    for k in range(top, -1, -1):
-        runs = written(_extended(table, runs, k, top))
-    return table.join(runs, "at"), top
-
-
-def _extended(table: DataFrame, runs: DataFrame, k: int, top: int) -> DataFrame:
-    """Extend each position's run by 2^k lines where the longer block has a copy at an earlier position."""
-    step = 1 << k
-    longer = table.where(F.col("n") >= step).join(runs, "at").select("at", "n", "levels", F.posexplode("run").alias("i", "had"))
-    fits = longer.where(F.col("i") + F.col("had") + step <= F.col("n"))
-    block = _block(F.col("levels"), top, F.col("i"), F.col("had") + step)
-    asked = fits.select("at", "i", block.alias("x")).select("at", "i", "x.a", "x.b", (F.col("at") + F.col("i")).alias("pos"))
-    first = asked.groupBy("a", "b").agg(F.min("pos").alias("first"))
-    copied = asked.join(first, ["a", "b"]).where("first < pos")
-    grown = copied.groupBy("at").agg(F.collect_list("i").alias("grown"))
-    # A flag per position: the grown ones are taken out of all, so that a long run costs no nested search.
-    every = F.sequence(F.lit(0), F.size("run") - 1)
-    still = F.array_except(every, F.col("grown"))
-    flags = F.array_sort(F.concat(F.transform("grown", lambda i: F.struct(i.alias("i"), F.lit(step).alias("s"))), F.transform(still, lambda i: F.struct(i.alias("i"), F.lit(0).alias("s")))))
-    longer_run = F.zip_with("run", flags, lambda r, f: r + f["s"])
-    return runs.join(grown, "at", "left").select("at", F.when(F.col("grown").isNull(), F.col("run")).otherwise(longer_run).alias("run"))
+    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("w"), i.alias("at"))
+
+    def grown(acc, k):
+        x = F.get(levels[k], acc["at"])
+        return F.struct(*_name(acc["a"], acc["b"], x["a"], x["b"]), (acc["w"] + x["w"]).alias("w"), (acc["at"] + sizes[k]).alias("at"))
+
+    def below(acc, k):
+        short = F.coalesce(acc["w"] + F.get(levels[k], acc["at"])["w"] < min_words, F.lit(False))
+        return F.when(short, grown(acc, k)).otherwise(acc)
+
+    # The longest block that is too short, then one line more.
+    return F.aggregate(F.sequence(F.lit(top), F.lit(0), F.lit(-1)), start, below, lambda acc: grown(acc, F.lit(0)))
+
+
+
+def windows(found: DataFrame, min_words: int) -> DataFrame:
+    """Forward and backward windows of every line of the segments: doc_id, text_hash, low, high, a, b, pos."""
+    placed = row_numbers(found, ["doc_id", "text_hash", "first"], "__pos", "n")
+    longest = placed.agg(F.max("n").alias("n")).first()["n"] or 1
+    top = longest.bit_length() - 1
+    both = []
+    for backward in (False, True):
+        lines = F.reverse("lines") if backward else F.col("lines")
+        table = placed.withColumn("l0", F.transform(lines, lambda x: F.struct(x["a"], x["b"], x["w"])))
+        for k in range(top):
+            table = table.withColumn(f"l{k + 1}", _doubled(F.col(f"l{k}"), 1 << k))
+        levels = F.array(*[F.col(f"l{k}") for k in range(top + 1)])
+        every = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: _window(levels, top, i, min_words))
+        rows = table.select("doc_id", "text_hash", "first", "n", "__pos", F.posexplode(every).alias("i", "x")).where("x.w IS NOT NULL")
+        low = F.col("n") - F.col("x.at") if backward else F.col("i")
+        high = F.col("n") - 1 - F.col("i") if backward else F.col("x.at") - 1
+        both.append(
+            rows.select(
+                "doc_id", "text_hash", (F.col("first") + low).alias("low"), (F.col("first") + high).alias("high"),
+                F.xxhash64("x.a", F.lit(backward)).alias("a"), F.col("x.b").alias("b"), (F.col("__pos") + low).alias("pos"),
+            )
+        )
+    return both[0].union(both[1])
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -119,22 +114,21 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     if the same run stands earlier, in an earlier document (by doc_id, nulls first, then by text) or above
     in the same one. Overlapping copies are joined. Rows that repeat an id and text are one document.
     """
-    found, top = earlier_runs(segments(docs, min_words))
-    spread = found.select("at", "doc_id", "text_hash", "first", "levels", F.posexplode("run").alias("i", "run")).where("run > 0")
-    words = _block(F.col("levels"), top, F.col("i"), F.col("run"))["w"]
-    enough = spread.where(words >= min_words).select("at", "doc_id", "text_hash", (F.col("first") + F.col("i")).alias("start"), "run")
-    # Runs that begin inside an earlier run of their segment and end there add nothing.
-    reach = F.max(F.col("start") + F.col("run")).over(Window.partitionBy("at").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    begin = F.greatest("start", F.coalesce(reach, F.col("start")))
-    fresh = enough.withColumn("begin", begin).where(F.col("start") + F.col("run") > F.col("begin"))
-    ranges = fresh.select("doc_id", "text_hash", F.sequence(F.col("begin"), F.col("start") + F.col("run") - 1).alias("lines"))
+    asked = written(windows(segments(docs, min_words), min_words))
+    first = asked.groupBy("a", "b").agg(F.min("pos").alias("first"))
+    copied = asked.join(first, ["a", "b"]).where("first < pos").select("doc_id", "text_hash", "low", "high")
+    # Windows that add nothing to those that begin before them are left out, the others are cut to what they add.
+    before = Window.partitionBy("doc_id", "text_hash").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.greatest("low", F.coalesce(F.max("high").over(before) + 1, F.col("low")))
+    fresh = copied.withColumn("begin", begin).where("high >= begin")
+    ranges = fresh.select("doc_id", "text_hash", F.sequence("begin", "high").alias("lines"))
     return ranges.groupBy("doc_id", "text_hash").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_words: int = 50, removed: str = "removed") -> DataFrame:
     """All rows and columns of `docs` with later copies cut out of `text`; see `repeated_lines`.
 
-    Adds `removed` (line numbers, empty where nothing was cut). A null text stays null, a text of which
+    Adds the column named by `removed` (line numbers, empty where nothing was cut). A null text stays null, a text of which
     nothing is left becomes empty.
     """
     gone = written(repeated_lines(docs, min_words)).select(
@@ -144,5 +138,5 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: lines[i]), "\n"))
-    out = docs.drop("removed").join(gone, same, "left")
-    return out.withColumns({"text": text, "removed": F.coalesce("__removed", F.array().cast("array<int>"))}).drop("__id", "__hash", "__removed")
+    out = docs.drop(removed).join(gone, same, "left")
+    return out.withColumns({"text": text, removed: F.coalesce("__removed", F.array().cast("array<int>"))}).drop("__id", "__hash", "__removed")

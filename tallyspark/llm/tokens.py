@@ -14,6 +14,10 @@ import os
 import numpy as np
 
 
+#: A line break by itself; no piece of a text begins with two spaces.
+LINE = "  \n"
+
+
 class Encoder:
     def __init__(self, path: str, limit: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # cores are shared out by Spark
@@ -68,11 +72,11 @@ class Encoder:
         out = []
         for i, line in enumerate(lines):
             if i and self.spaced:
-                out.append(" \n")
+                out.append(LINE)
             if not line:
                 continue
             start = " " if self.spaced and (bare or i) else ""
-            if line[-1] in ",." and line[:-1].isalpha():
+            if line[-1] in ",." and line[:-1].isalpha() and line.lower()[:-1].isalpha():  # also without new accents
                 out += [start + line[:-1], (" " if self.spaced else "") + line[-1]]
             else:
                 out.append(start + line)
@@ -84,7 +88,7 @@ class Encoder:
             return
         cuts = {k: self._cut(k) for k in new}
         atoms = list(dict.fromkeys(a for c in cuts.values() for a in c or () if a not in self.slots))
-        plain = [(a[1:] if a[:1] == " " else " " + a) if self.spaced else a for a in atoms]
+        plain = [(a.lstrip(" ") if a[:1] == " " else " " + a) if self.spaced else a for a in atoms]
         for atom, e in zip(atoms, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
             self._store(atom, e.ids)
         for key, cut in cuts.items():

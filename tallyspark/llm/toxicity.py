@@ -10,6 +10,7 @@ a word's log-likelihood difference is computed once and remembered.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,10 +28,19 @@ DISCOUNT = 0.75
 SAMPLE = 20_000
 #: Of those, one in five fits the final curve and stays out of the counts.
 CURVE = 5
-STRONG = 3.0
+#: Log-likelihood differences of a word: from which it counts, from which it is strong, and the most that counts.
+EASY, STRONG, MOST = 1.5, 3.0, 6.0
+#: Words of no evidence added to a text, so that a few words alone decide little.
+SHRINK = 20
+LETTERS = re.compile(r"[^\W\d_]+")
 START, END = "\x02", "\x03"
 
 
+def expressions(text: str | None) -> list[str]:
+    """Lower-cased runs of letters: marks and digits glued to a word say nothing about it."""
+    return LETTERS.findall((text or "").lower())
+
+
 def _grams(word: str) -> list[str]:
     """The highest-order gram that ends at each letter."""
     s = START + word + END
@@ -56,7 +66,7 @@ def gram_counts(chosen: DataFrame) -> DataFrame:
         for batch in batches:
             counts = [Counter(), Counter()]
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts[toxic].update((text or "").lower().split())
+                counts[toxic].update(set(expressions(text)))  # once a document: repetition is no evidence
             every = list(set(counts[0]) | set(counts[1]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(every, pa.string()), *(pa.array([c[w] for w in every], pa.int64()) for c in counts)], ["word", "n0", "n1"]
@@ -128,15 +138,16 @@ def word_ratio(word: str, ratios: dict[str, float], contexts: dict[str, float])
 
 
 def features(texts: list[str | None], memo: Memo) -> np.ndarray:
-    """Length-normalised difference; the same against its noise; share and number of strong words; length."""
+    """Length-normalised difference; its part above EASY; share and number of strong words; length."""
     out = np.zeros((len(texts), 5))
     for i, text in enumerate(texts):
-        found = (text or "").lower().split()
+        found = expressions(text)
         n = len(found)
         if n:
             r = np.fromiter(map(memo.__getitem__, found), np.float64, n)
             strong = int((r > STRONG).sum())
-            out[i] = r.mean(), r.mean() * np.sqrt(n), strong / n, np.log1p(strong), np.log1p(n)
+            size = n + SHRINK
+            out[i] = r.sum() / size, np.clip(r - EASY, 0, MOST).sum() / size, strong / size, np.log1p(strong), np.log1p(n)
     return out
 
 

@@ -9,18 +9,18 @@ LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 BASE = [f"alpha{i} beta{i % 7} gamma{i} delta{i % 5} eps{i}" for i in range(40)]
 ODD = [
     (None, "a text without an id, and a few words more to read", "en", "s0", 1),
-    (900, None, "en", "s0", 0),
-    (901, "", "en", "s0", 0),
-    (902, "  \n\t\n ", "en", "s0", 5),
-    (903, "one", "en", "s0", 3),
-    (904, LONG, "en", "s0", len(LONG)),
-    (905, "\n".join(BASE), "en", "s0", 1),
-    (905, "\n".join(BASE), "en", "s0", 1),
-    (905, "another text under an id that is taken", "en", "s0", 1),
-    (906, "\n".join(BASE[:38] + ["new words at the end"]), "fr", "s1", 1),
-    (907, "an own line first\n" + "\n".join(BASE[5:25]) + "\nand one that follows", "fr", "s1", 1),
-    (908, "two  spaces,\ttab nbsp \x1c odd\n\n\nlines  \n end. It's <|endoftext|> fine", "en", None, 1),
-    (909, "Ünïcode ÄÖ — 漢字 emoji 🙂 don't 3.14 á naïve, words. ", "de", "s2", 1),
+    (90_900, None, "en", "s0", 0),
+    (90_901, "", "en", "s0", 0),
+    (90_902, "  \n\t\n ", "en", "s0", 5),
+    (90_903, "one", "en", "s0", 3),
+    (90_904, LONG, "en", "s0", len(LONG)),
+    (90_905, "\n".join(BASE), "en", "s0", 1),
+    (90_905, "\n".join(BASE), "en", "s0", 1),
+    (90_905, "another text under an id that is taken", "en", "s0", 1),
+    (90_906, "\n".join(BASE[:38] + ["new words at the end"]), "fr", "s1", 1),
+    (90_907, "an own line first\n" + "\n".join(BASE[5:25]) + "\nand one that follows", "fr", "s1", 1),
+    (90_908, "two  spaces,\ttab nbsp \x1c odd\n\n\nlines  \n end. It's <|endoftext|> fine", "en", None, 1),
+    (90_909, "Ünïcode ÄÖ — 漢字 emoji 🙂 don't 3.14 á naïve, words. ", "de", "s2", 1),
 ]
 
 

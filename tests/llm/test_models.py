@@ -27,7 +27,8 @@ def test_toxicity_separates_held_out_documents(spark):
     area = (order[own["toxic"] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
     flagged = own[own["predicted"] == 1]
     print("area", area, "precision", (flagged["toxic"] == 1).mean(), "recall", (flagged["toxic"] == 1).sum() / n1)
-    assert area > 0.9 and (flagged["toxic"] == 1).mean() > 0.9
+    # Some labels contradict their text, in both directions.
+    assert area > 0.93 and (flagged["toxic"] == 1).mean() > 0.9
 
 
 def test_toxicity_never_sees_labels_of_the_fold_or_other_columns(spark, odd):

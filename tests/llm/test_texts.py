@@ -62,7 +62,7 @@ def test_kept_rows_keep_all_columns(odd):
     kept = minhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == [900, 901, 902, 903, 904, 905, 905, 907, 908, 909] and None in ids
+    assert sorted(i for i in ids if i is not None) == [90_900, 90_901, 90_902, 90_903, 90_904, 90_905, 90_905, 90_907, 90_908, 90_909] and None in ids
 
 
 def test_components_of_random_graphs(spark):
@@ -108,7 +108,7 @@ def brute_lines(rows, least):
 @pytest.mark.parametrize("least", [50, 8])
 def test_repeated_lines_equal_brute_force(docs, odd, least):
     # One text per id here: the order of several texts under one id is by hash.
-    both = docs.select("doc_id", "text").union(odd.where("doc_id <> 905 OR text LIKE 'alpha%' OR doc_id IS NULL").select("doc_id", "text"))
+    both = docs.select("doc_id", "text").union(odd.where("doc_id <> 90905 OR text LIKE 'alpha%' OR doc_id IS NULL").select("doc_id", "text"))
     want = brute_lines([(r["doc_id"], r["text"]) for r in both.collect()], least)
     got = lines.drop_repeated_lines(both, least).collect()
     assert len(got) == both.count()

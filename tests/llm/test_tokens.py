@@ -178,7 +178,7 @@ def test_shards_are_even_gapless_and_computable(docs, odd, tmp_path):
     order = [r["doc_id"] for r in sorted(rows, key=lambda r: r["row"])]
     assert order[0] is None and order[1:] == sorted(order[1:])
     sizes = {r["doc_id"]: r["size"] for r in rows}
-    assert sizes[900] == 8 and sizes[903] == 11
+    assert sizes[90_900] == 8 and sizes[90_903] == 11
     sharding.write_shards(odd, str(tmp_path / "shards"), 4)
     back = odd.sparkSession.read.parquet(str(tmp_path / "shards"))
     assert sorted(str((r["doc_id"], r["text"])) for r in back.collect()) == sorted(str((r["doc_id"], r["text"])) for r in odd.collect())
