@@ -138,5 +138,6 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 50, removed: str = "re
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: lines[i]), "\n"))
-    out = docs.drop(removed).join(gone, same, "left")
+    # Texts are shuffled once; a plan that broadcasts what was cut from a small corpus would not hold for a large one.
+    out = docs.drop(removed).join(gone.hint("merge"), same, "left")
     return out.withColumns({"text": text, removed: F.coalesce("__removed", F.array().cast("array<int>"))}).drop("__id", "__hash", "__removed")

@@ -154,7 +154,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
-    chosen = texts.join(wanted.select("node", "rep"), texts["rep"].eqNullSafe(wanted["rep"])).select("node", "text")
+    chosen = texts.join(wanted.select("node", "rep").hint("merge"), texts["rep"].eqNullSafe(wanted["rep"])).select("node", "text")
     # Rows that repeat an id with another text, or the same text, are told apart by the set itself.
     made = chosen.mapInArrow(sets, "node long, found binary, shingles array<long>")
     own = wanted.select(F.col("node").alias("own"), "set_hash")
@@ -236,6 +236,6 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = written(near_duplicates(docs, percent))
     gone = found.where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
     same = docs["doc_id"].eqNullSafe(gone["__gone"]) & (_text_hash() == gone["__hash"])
-    kept = docs.join(gone, same, "left_anti")
+    kept = docs.join(gone.hint("merge"), same, "left_anti")
     repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 
 
 #: A line break by itself; no piece of a text begins with two spaces.
 LINE = "  \n"
+LINE_TOKEN = "Ċ"  # a line break in the byte alphabet of the vocabulary
 
 
 class Encoder:
@@ -26,34 +28,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path) as f:
-            spec = json.load(f)["pre_tokenizer"] or {}
+            file = json.load(f)
+        spec, json_model = file["pre_tokenizer"] or {}, file["model"]
         kinds = [p["type"] for p in spec.get("pretokenizers", [spec]) if p]
         drops = kinds[:1] == ["Split"] and spec["pretokenizers"][0]["behavior"] == "Removed"
         self.spaced = kinds == ["ByteLevel"] and spec.get("use_regex", True) and not spec.get("add_prefix_space")
         self.pieced = self.spaced or drops
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.limit = limit
+        # The ids after which a word is over: those that carry the word's end, or the line break put between words.
+        mark = json_model.get("end_of_word_suffix") or ""
+        self.ends = np.zeros(self.vocabulary, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.ends[i] = token == LINE_TOKEN if self.spaced else bool(mark) and token.endswith(mark)
         self._reset()
 
     def _reset(self) -> None:
         self.slots: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.lengths = [], []
-
-    def _store(self, key: str, ids) -> int:
-        n = len(ids)
-        if self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(n, len(self.flat)), np.uint32)])
-        self.flat[self.used : self.used + n] = ids
-        self.slots[key] = slot = len(self.starts)
-        self.starts.append(self.used)
-        self.lengths.append(n)
-        self.used += n
-        return slot
-
-    def _ids(self, key: str) -> np.ndarray:
-        slot = self.slots[key]
-        return self.flat[self.starts[slot] : self.starts[slot] + self.lengths[slot]]
+        self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _store(self, keys: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.starts)
+        self.slots.update(zip(keys, range(first, first + len(keys)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + lengths.cumsum() - lengths])
+        self.flat, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
+
+    def _gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of several stored pieces, one after another, and their lengths."""
+        n = self.lengths[slots]
+        ends = n.cumsum()
+        at = np.arange(int(ends[-1]) if len(n) else 0)
+        at += np.repeat(self.starts[slots] - (ends - n), n)
+        return self.flat[at], n
+
+    def _encode_words(self, keys: list[str]) -> None:
+        """Store words of letters only. They are encoded as one text, whose ids show where each word ends."""
+        if self.spaced:
+            text = "\n".join([" " + k for k in keys]) + "\n"
+        else:
+            text = " ".join(keys)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(keys):
+            self._encode_each(keys)
+        elif self.spaced:  # the line break that ends a word is not its own
+            self._store(keys, ids[~self.ends[ids]], np.diff(last, prepend=-1) - 1)
+        else:
+            self._store(keys, ids, np.diff(last, prepend=-1))
+
+    def _encode_each(self, keys: list[str]) -> None:
+        plain = [(k.lstrip(" ") if k[:1] == " " else " " + k) if self.spaced else k for k in keys]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self._store(keys, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
 
     def _cut(self, key: str) -> list[str] | None:
         """Smaller pieces of a piece; None where white space makes the cut unsure.
@@ -83,20 +110,37 @@ class Encoder:
         return out
 
     def _learn(self, keys: set[str]) -> None:
-        new = [k for k in keys if k not in self.slots]
-        if not new:
-            return
-        cuts = {k: self._cut(k) for k in new}
-        atoms = list(dict.fromkeys(a for c in cuts.values() for a in c or () if a not in self.slots))
-        plain = [(a.lstrip(" ") if a[:1] == " " else " " + a) if self.spaced else a for a in atoms]
-        for atom, e in zip(atoms, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            self._store(atom, e.ids)
-        for key, cut in cuts.items():
+        simple, single, joined = [], [], []
+        stops = {c: " " + c if self.spaced else c for c in ",."}
+        for key in keys - self.slots.keys():
+            if key.isalpha():
+                simple.append(key)
+                continue
+            if key[-1:] in stops and key[:-1].isalpha() and key.lower()[:-1].isalpha():
+                joined.append((key, (key[:-1], stops[key[-1]])))
+                continue
+            cut = self._cut(key)
             if cut is None:
                 self.slots[key] = -1
-            elif key not in self.slots:
-                parts = [self._ids(a) for a in cut]
-                self._store(key, np.concatenate(parts) if parts else ())
+            elif cut == [key]:
+                single.append(key)
+            else:
+                joined.append((key, cut))
+        known = self.slots.keys()
+        parts = {p for _, cut in joined for p in cut} - known - set(simple) - set(single)
+        simple += [p for p in parts if p.isalpha()]
+        single += [p for p in parts if not p.isalpha()]
+        if simple:
+            self._encode_words(simple)
+        if single:
+            self._encode_each(single)
+        if joined:
+            sizes = np.fromiter((len(cut) for _, cut in joined), np.int64, len(joined))
+            slots = np.fromiter((self.slots[p] for _, cut in joined for p in cut), np.int64, int(sizes.sum()))
+            flat, n = self._gathered(slots)
+            total = np.concatenate([[0], n.cumsum()])
+            ends = sizes.cumsum()
+            self._store([key for key, _ in joined], flat, total[ends] - total[ends - sizes])
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text (null: empty), with `end` appended where it is given."""
@@ -113,22 +157,29 @@ class Encoder:
                 split[0] = " " + split[0]
             pieces.append(split)
         self._learn(set().union(*pieces))
-        starts, lengths = np.array(self.starts, np.int64), np.array(self.lengths, np.int64)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        slots = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(pieces)), np.int64, int(sizes.sum()))
+        hard = slots < 0
+        flat, n = self._gathered(np.where(hard, 0, slots)) if len(self.starts) else (np.empty(0, np.uint32), np.zeros(len(slots), np.int64))
+        total, ends = np.concatenate([[0], n.cumsum()]), sizes.cumsum()
+        doubtful = np.add.reduceat(np.append(hard, False), np.minimum(ends - sizes, len(hard))) * (sizes > 0) if hard.any() else np.zeros(len(sizes))
         out = []
-        for text, split in zip(texts, pieces, strict=True):
-            at = np.fromiter(map(self.slots.__getitem__, split), np.int64, len(split))
-            if len(at) and at.min() < 0:
+        for text, begin, end_, odd in zip(texts, total[ends - sizes], total[ends], doubtful, strict=True):
+            if odd:
                 ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             else:
-                n = lengths[at]
-                ends = n.cumsum()
-                total = int(ends[-1]) if len(n) else 0
-                ids = self.flat[np.arange(total) + np.repeat(starts[at] - (ends - n), n)]
+                ids = flat[begin:end_]
             out.append(np.concatenate([ids, tail]))
         return out
 
 
-def chunks(values: list, size: int = 64):
-    """Texts of a batch, a few at a time."""
-    for i in range(0, len(values), size):
-        yield values[i : i + size]
+def chunks(texts: list[str | None], most: int = 1 << 20):
+    """Texts of a batch, about `most` characters at a time."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size < most):
+            size += len(texts[stop] or "")
+            stop += 1
+        yield texts[at:stop]
+        at = stop
