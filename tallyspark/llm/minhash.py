@@ -3,10 +3,10 @@
 1. Each document's five-word shingles give `BANDS * ROWS` minima. A band of full minima is a bucket key;
    of each minimum only the low bits are kept, packed into three integers.
 2. Documents with equal sets are one class from here on; copies are never expanded into pairs.
-3. Each bucket links its members to one hub. Bit counts of the packed signatures, corrected for chance
+3. Each bucket links its members to a few hubs. Bit counts of the packed signatures, corrected for chance
    agreement of low bits, drop pairs far below the threshold; the others are compared on whole sets.
-4. Members that their hub did not link are compared with the other members of the bucket that lie in
-   another component so far, until nothing is left open.
+4. Buckets that are not one component then get other hubs. Members still apart from their bucket's first
+   hub are compared with all members that lie in another component, so that no link is left open.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ MINIMA = ROWS * BANDS
 # With 72 two-bit minima the estimate's standard error near 0.75 is 0.061; four of them are allowed for.
 SLACK = 0.25
 SETS = 1 << 15
+HUBS = 3
 
 
 def _word_hashes() -> Memo:
@@ -196,29 +197,51 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
 
 
+def _stars(buckets: DataFrame, turn: int) -> DataFrame:
+    """key, n and HUBS members of each bucket, others for each turn: the smallest after flipping some bits."""
+    flips = [F.lit(int(mix(np.array([turn * HUBS + j], np.uint64))[0] >> np.uint64(1))) for j in range(HUBS)]
+    hubs = [F.min(F.col("node").bitwiseXOR(f)).alias(f"h{j}") for j, f in enumerate(flips)]
+    found = buckets.groupBy("key").agg(F.count("*").alias("n"), *hubs, *([F.min("c").alias("c0"), F.max("c").alias("c1")] if turn else []))
+    named = F.array(*[F.col(f"h{j}").bitwiseXOR(f) for j, f in enumerate(flips)])
+    return found.where("c0 < c1" if turn else "n > 1").select("key", named.alias("hubs"))
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """Distinct unordered pairs of a node and a hub of one of its buckets."""
+    spread = members.select("node", F.explode("hubs").alias("hub")).where("node <> hub")
+    return spread.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+
+
 def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     floor = percent / 100 - SLACK
     sig = classes.select("node", "s0", "s1", "s2")
     buckets = classes.select("node", F.explode("bands").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = written(buckets.join(hubs, "key"))
-    stars = shared.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    likely = written(_likely(stars, sig, floor))
+    shared = written(buckets.join(_stars(buckets, 0), "key"))
+    likely = written(_likely(_pairs(shared), sig, floor))
     # Every class that shares a bucket may be compared later; its set is written once.
     reps = classes.select("node", "rep", "set_hash").join(shared.select("node").distinct(), "node", "left_semi")
     sets = written(_sets(docs, reps))
-    first = written(_confirmed(likely, sets, percent))
-    label = written(components(first))
-    at = shared.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    hub_label = label.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-    at = at.join(hub_label, "hub", "left").withColumn("h", F.coalesce("hub_component", "hub")).drop("hub_component")
-    at = written(at.join(sig, "node").select("key", "node", "c", "h", "s0", "s1", "s2"))
-    open_ = at.where("c <> h").alias("a")
-    # Both members open: the smaller one asks. One open: it asks.
-    pairs = open_.join(at.alias("b"), F.expr("a.key = b.key AND a.c <> b.c AND a.node <> b.node AND (b.c = b.h OR a.node < b.node)") & (estimated("a", "b") >= floor))
+    links = written(_confirmed(likely, sets, percent))
+    # More hubs where a bucket is not one component yet: rows stay in proportion to its members.
+    at = written(_labelled(shared, links))
+    more = _pairs(at.select("key", "node").join(_stars(at, 1), "key")).join(likely, ["u", "v"], "left_anti")
+    further = written(_likely(more, sig, floor))
+    links = written(links.union(_confirmed(further, sets, percent)))
+    # What is still apart: members outside the first hub's component against all of other components.
+    at = _labelled(shared, links)
+    main = at.where(F.col("node") == F.col("hubs")[0]).select("key", F.col("c").alias("h"))
+    at = written(at.join(main, "key").join(sig, "node").select("key", "node", "c", "h", "s0", "s1", "s2"))
+    # Both outside: the smaller one asks. One outside: it asks.
+    apart = F.expr("a.key = b.key AND a.c <> b.c AND (b.c = b.h OR a.node < b.node)") & (estimated("a", "b") >= floor)
+    pairs = at.where("c <> h").alias("a").join(at.alias("b"), apart)
     rest = pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    second = written(_confirmed(rest.join(likely.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), sets, percent))
-    return first.union(second)
+    rest = rest.join(likely.union(further), ["u", "v"], "left_anti")
+    return links.union(written(_confirmed(rest, sets, percent)))
+
+
+def _labelled(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Bucket members with the component `c` that the links so far give them."""
+    return shared.join(components(links), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
 
 def _likely(pairs: DataFrame, sig: DataFrame, floor: float) -> DataFrame:
