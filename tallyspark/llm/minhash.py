@@ -162,12 +162,15 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.join(own, (made["node"] == own["own"]) & (made["found"] == own["set_hash"])).select("node", "shingles").dropDuplicates(["node"])
 
 
+def _near(a: str, b: str, percent: int) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return 100 * both >= percent * (F.size(a) + F.size(b) - both)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    linked = 100 * both >= percent * (F.size("a") + F.size("b") - both)
-    return pairs.join(a, "u").join(b, "v").where(linked).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").where(_near("a", "b", percent)).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -230,13 +233,15 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     # What is still apart: members outside the first hub's component against all of other components.
     at = _labelled(shared, links)
     main = at.where(F.col("node") == F.col("hubs")[0]).select("key", F.col("c").alias("h"))
-    at = written(at.join(main, "key").join(sig, "node").select("key", "node", "c", "h", "s0", "s1", "s2"))
-    # Both outside: the smaller one asks. One outside: it asks.
-    apart = F.expr("a.key = b.key AND a.c <> b.c AND (b.c = b.h OR a.node < b.node)") & (estimated("a", "b") >= floor)
-    pairs = at.where("c <> h").alias("a").join(at.alias("b"), apart)
-    rest = pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    rest = rest.join(likely.union(further), ["u", "v"], "left_anti")
-    return links.union(written(_confirmed(rest, sets, percent)))
+    at = written(at.join(main, "key").select("key", "node", "c", "h"))
+    open_ = at.where("c <> h").select("key").distinct()
+    at = written(at.join(open_, "key", "left_semi").join(sig, "node").join(sets, "node"))
+    # Both outside: the smaller one asks. One outside: it asks. Sets are compared where the rows meet, so that a
+    # large group of texts that are alike, yet not alike enough, gives no rows.
+    apart = F.expr("a.key = b.key AND a.c <> b.c AND (b.c = b.h OR a.node < b.node)")
+    near = (estimated("a", "b") >= floor) & _near("a.shingles", "b.shingles", percent)
+    pairs = at.where("c <> h").alias("a").join(at.alias("b"), apart & near)
+    return links.union(written(pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()))
 
 
 def _labelled(shared: DataFrame, links: DataFrame) -> DataFrame:
