@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TOKENS_PER_RATE_UNIT, day_key, month_key, workspace_id_of
@@ -45,13 +45,16 @@ def spend_by_model(requests: DataFrame, card: DataFrame, by: Sequence[str] = ())
 def spend_by_session(
     requests: DataFrame, card: DataFrame, by: Sequence[str] = (), top: int | None = None
 ) -> DataFrame:
-    """Spend per session; `top` keeps the dearest sessions overall, as the report does."""
+    """Spend per session; `top` keeps the dearest sessions of each tenant, or overall without `by`."""
     out = (
         spend(requests, card, {"session_id": F.col("session_id")}, by)
         .select(*by, "session_id", *MONEY, "request_count", "first_ts", "last_ts")
         .orderBy(F.col("credits").desc(), *by, "session_id")
     )
-    return out if top is None else out.limit(top)
+    if top is None or not by:
+        return out if top is None else out.limit(top)
+    dearest = Window.partitionBy(*by).orderBy(F.col("credits").desc(), "session_id")
+    return out.withColumn("_place", F.row_number().over(dearest)).where(F.col("_place") <= top).drop("_place")
 
 
 def spend_by_cost_centre(

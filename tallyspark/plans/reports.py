@@ -35,7 +35,7 @@ def waste_findings(corpus: Corpus, scope: str = "shared", subjects: int = 1) ->
         try:
             out = out.unionByName(detect(corpus))
         except Exception as error:  # noqa: BLE001 - one defect must not hide the other causes
-            failed.append((name, str(error)[:200]))
+            failed.append((name, str(error)))
     out = redact_evidence(out, subjects, scope)
     if failed:
         row = out.sparkSession.createDataFrame(failed, "class string, title string")

@@ -196,11 +196,13 @@ def _(t):
 
 @query("o04_outcome_report", """
 SELECT (SELECT count(*) FROM verdict) AS changes, (SELECT count(*) FILTER (durable) FROM verdict) AS durable,
-  (SELECT count(DISTINCT author_id) FROM commit_log) AS authors, round((SELECT arg_max(survival, time) FROM km WHERE time <= 30), 6) AS survival_at_horizon,
+  (SELECT count(DISTINCT author_id) FROM commit_log) AS authors, round((SELECT CASE WHEN x.remaining >= 10 THEN x.survival END FROM at_horizon), 6) AS survival_at_horizon,
   round(author + rework + failure, 6) AS measurable_hours, round((SELECT median(latency_hours) FROM l), 6) AS median_review_latency_hours,
   round((author + rework + failure) / (SELECT count(*) FILTER (durable) FROM verdict), 6) AS hours_per_durable_change,
   round((SELECT sum(lines) FROM matched) / (SELECT sum(deleted) FROM touched), 6) AS attribution_coverage FROM e""",
-    **upto("observed"), **km_ctes("observed"), l=LATENCY, e=effort_sql("true"))
+    **upto("observed"), **km_ctes("observed"),
+    # Withheld where fewer than ten lines are still observed after the last time up to the horizon.
+    at_horizon="SELECT arg_max({'survival': survival, 'remaining': at_risk - events - censored}, time) AS x FROM km WHERE time <= 30", l=LATENCY, e=effort_sql("true"))
 def _(t):
     out = O.outcome_report(t.commit, t.commit_file, NOW_MS)
     return rounded(out.select("changes", "durable", "authors", "survival_at_horizon", "measurable_hours",

@@ -272,10 +272,10 @@ def _(t):
     return t.raw("orders").select("o_orderkey", rel.alias("relative"), S.is_path_redacted(rel).alias("redacted"))
 
 
-@query("f04_measure_result_chars", "SELECT doc_id, length(lang) + 2 * length(source) + length(substr(text, 1, 50)) AS chars FROM (SELECT doc_id, lang, source, regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS text FROM documents)")
+@query("f04_measure_result_chars", "SELECT doc_id, length(lang) + 2 * length(source) + length(text) AS chars FROM (SELECT doc_id, lang, source, regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS text FROM documents)")
 def _(t):
     plain = F.regexp_replace("text", "[^a-zA-Z ]", "")
-    tree = F.to_json(F.struct(F.lit("x").alias("type"), F.col("lang").alias("a"), F.array(F.struct(F.col("source").alias("b")), F.struct(F.col("source").alias("b"))).alias("c"), F.col("doc_id").alias("n"), F.substring(plain, 1, 50).alias("t")))
+    tree = F.to_json(F.struct(F.lit("x").alias("type"), F.col("lang").alias("a"), F.array(F.struct(F.col("source").alias("b")), F.struct(F.col("source").alias("b"))).alias("c"), F.col("doc_id").alias("n"), plain.alias("t")))
     return t.raw("documents").select("doc_id", N.measure_result_chars(tree).alias("chars"))
 
 
