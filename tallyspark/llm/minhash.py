@@ -235,11 +235,12 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     main = at.where(F.col("node") == F.col("hubs")[0]).select("key", F.col("c").alias("h"))
     at = written(at.join(main, "key").select("key", "node", "c", "h"))
     open_ = at.where("c <> h").select("key").distinct()
-    at = written(at.join(open_, "key", "left_semi").join(sig, "node").join(sets, "node"))
+    at = written(at.join(open_, "key", "left_semi").join(classes.select("node", "bands", "s0", "s1", "s2"), "node").join(sets, "node"))
     # Both outside: the smaller one asks. One outside: it asks. Sets are compared where the rows meet, so that a
     # large group of texts that are alike, yet not alike enough, gives no rows.
     apart = F.expr("a.key = b.key AND a.c <> b.c AND (b.c = b.h OR a.node < b.node)")
-    near = (estimated("a", "b") >= floor) & _near("a.shingles", "b.shingles", percent)
+    once = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")  # in one of their common buckets
+    near = (estimated("a", "b") >= floor) & once & _near("a.shingles", "b.shingles", percent)
     pairs = at.where("c <> h").alias("a").join(at.alias("b"), apart & near)
     return links.union(written(pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()))
 
