@@ -3,9 +3,10 @@
 1. Each document's five-word shingles give `BANDS * ROWS` minima. A band of full minima is a bucket key;
    of each minimum only the low bits are kept, packed into three integers.
 2. Documents with equal sets are one class from here on; copies are never expanded into pairs.
-3. Each bucket links its members to a few hubs. Bit counts of the packed signatures, corrected for chance
-   agreement of low bits, drop pairs far below the threshold; the others are compared on whole sets.
-4. Buckets that are not one component then get other hubs. Members still apart from their bucket's first
+3. Each bucket links its members to a hub, its most central member. Bit counts of the packed signatures,
+   corrected for chance agreement of low bits, drop pairs far below the threshold; the others are compared
+   on whole sets.
+4. Buckets that are not one component then get a few more hubs. Members still apart from their bucket's first
    hub are compared with all members that lie in another component, so that no link is left open.
 """
 
@@ -200,13 +201,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
 
 
-def _stars(buckets: DataFrame, turn: int) -> DataFrame:
-    """key, n and HUBS members of each bucket, others for each turn: the smallest after flipping some bits."""
-    flips = [F.lit(int(mix(np.array([turn * HUBS + j], np.uint64))[0] >> np.uint64(1))) for j in range(HUBS)]
+def _centred(buckets: DataFrame) -> DataFrame:
+    """Members of buckets of two or more, with a one-element array of the bucket's hub.
+
+    The hub is the member whose buckets are the fullest: in a group of altered copies that is the text nearest
+    to what they share, so that one hub links most of a large group.
+    """
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    weighed = buckets.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight"), F.collect_list("key").alias("keys"))
+    rows = written(weighed.select("node", "weight", F.explode("keys").alias("key")))  # at most BANDS keys a node
+    hubs = rows.groupBy("key").agg(F.array(F.max(F.struct("weight", "node"))["node"]).alias("hubs"))
+    return rows.select("node", "key").join(hubs, "key")
+
+
+def _others(members: DataFrame) -> DataFrame:
+    """key and HUBS more hubs of each bucket of several components: the smallest members after flipping some bits."""
+    flips = [F.lit(int(mix(np.array([HUBS + j], np.uint64))[0] >> np.uint64(1))) for j in range(HUBS)]
     hubs = [F.min(F.col("node").bitwiseXOR(f)).alias(f"h{j}") for j, f in enumerate(flips)]
-    found = buckets.groupBy("key").agg(F.count("*").alias("n"), *hubs, *([F.min("c").alias("c0"), F.max("c").alias("c1")] if turn else []))
-    named = F.array(*[F.col(f"h{j}").bitwiseXOR(f) for j, f in enumerate(flips)])
-    return found.where("c0 < c1" if turn else "n > 1").select("key", named.alias("hubs"))
+    found = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *hubs).where("c0 < c1")
+    return found.select("key", F.array(*[F.col(f"h{j}").bitwiseXOR(f) for j, f in enumerate(flips)]).alias("hubs"))
 
 
 def _pairs(members: DataFrame) -> DataFrame:
@@ -219,15 +232,15 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     floor = percent / 100 - SLACK
     sig = classes.select("node", "s0", "s1", "s2")
     buckets = classes.select("node", F.explode("bands").alias("key"))
-    shared = written(buckets.join(_stars(buckets, 0), "key"))
+    shared = written(_centred(buckets))
     likely = written(_likely(_pairs(shared), sig, floor))
     # Every class that shares a bucket may be compared later; its set is written once.
     reps = classes.select("node", "rep", "set_hash").join(shared.select("node").distinct(), "node", "left_semi")
     sets = written(_sets(docs, reps))
     links = written(_confirmed(likely, sets, percent))
-    # More hubs where a bucket is not one component yet: rows stay in proportion to its members.
+    # A few more hubs where a bucket is not one component yet: rows stay in proportion to its members.
     at = written(_labelled(shared, links))
-    more = _pairs(at.select("key", "node").join(_stars(at, 1), "key")).join(likely, ["u", "v"], "left_anti")
+    more = _pairs(at.select("key", "node").join(_others(at), "key")).join(likely, ["u", "v"], "left_anti")
     further = written(_likely(more, sig, floor))
     links = written(links.union(_confirmed(further, sets, percent)))
     # What is still apart: members outside the first hub's component against all of other components.
