@@ -13,6 +13,7 @@ from ..functions.scalars import hash_identifier, hash_path, round_half_up, to_re
 # Keys that carry structure, not content, and the depth limit.
 STRUCTURAL_KEYS = ("$mid", "type", "ctor", "ctorName", "priority", "flexGrow")
 MAX_DEPTH = 64
+FILE_DRIFT = "sessionId|requests"
 
 # A value of the wrong JSON type becomes null here, which is how drift is noticed.
 REQUEST_JSON = """struct<
@@ -89,7 +90,7 @@ def normalise_requests(replayed: DataFrame, sessions: DataFrame, salt: str) -> D
     meta = F.col("doc.result.metadata")
     model = _text(F.coalesce(meta["resolvedModel"], F.col("doc.modelId")))
     missing = (
-        F.when(F.col("raw_session_id").isNull(), "sessionId|requests")
+        F.when(F.col("raw_session_id").isNull(), FILE_DRIFT)
         .when(_text(F.col("doc.requestId")).isNull(), "requestId")
         .when(F.col("doc.timestamp").isNull(), "timestamp")
         .when(meta["promptTokens"].isNull(), "result.metadata.promptTokens")
@@ -116,7 +117,7 @@ def file_drift(sessions: DataFrame, files: DataFrame) -> DataFrame:
     """Files that hold no recognisable session document."""
     found = sessions.where(F.col("raw_session_id").isNotNull())
     return files.select("path").distinct().join(found, "path", "left_anti").withColumn(
-        "drift", F.lit("sessionId|requests")
+        "drift", F.lit(FILE_DRIFT)
     )
 
 
@@ -128,6 +129,14 @@ def quarantine(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("drift").isNotNull()).select("source_file", "turn_index", "drift")
 
 
+def all_drift(rows: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
+    """Drift of requests, and one row without a turn for each file that holds no session."""
+    whole = file_drift(sessions, files).select(
+        to_relative_path(F.col("path")).alias("source_file"), F.lit(None).cast("long").alias("turn_index"), "drift"
+    )
+    return quarantine(rows).where(F.col("drift") != FILE_DRIFT).unionByName(whole)
+
+
 def explode_cost_centres(rows: DataFrame) -> DataFrame:
     """Well-formed entries; labels nobody has seen before are kept."""
     c = F.col("c")

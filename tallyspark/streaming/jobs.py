@@ -1,15 +1,20 @@
-"""Running the streams: sinks, and journal ingest as a stream."""
+"""Running the streams: sinks, and repeated journal ingest into a store."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import attach, checkpoint_dir, materialise
 from ..sources import journals, normalise, store
 
+MANIFEST = "file_path string, mtime_ms long, size_bytes long, content_hash string, last_ingested_at long"
+LINE_COUNTS = ("total_lines", "malformed_lines", "unrecognised_envelopes")
+
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available now and stop.
@@ -38,48 +43,83 @@ def collect_stream(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def ingest_journals(
-    spark: SparkSession,
-    source: str,
-    store_root: str,
-    checkpoint: str,
-    salt: str,
-    on_batch: Callable[[int], None] | None = None,
-) -> None:
-    """Read new or changed journal files and replace their requests in the store.
-
-    The file source remembers files across restarts, and the upsert is idempotent, so a
-    replayed batch changes nothing.
+    spark: SparkSession, roots: list[str], store_root: str, salt: str, now_ms: int | None = None
+) -> DataFrame:
+    """Read new or grown journal files under `roots` into the store; see `ingest_files`.
+
+    Spark's streaming file source never reads a path twice, and journals grow in place, so each run lists
+    the folder and compares it with the manifest instead.
     """
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    files = (
-        spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(source)
-    )
-
-    def apply(batch: DataFrame, number: int) -> None:
-        envelopes = journals.parse_envelopes(journals.split_lines(batch))
-        rows = normalise.normalise_requests(
-            journals.replay_journal(envelopes), journals.session_ids(envelopes), salt
-        )
-        incoming = normalise.child_tables(normalise.good(rows), salt)
-        for name, table in incoming.items():
-            table.withColumn("version", store.version_of(number)).write.mode("overwrite").parquet(
-                f"{store_root}/{name}/batch={number}"
-            )
-        if on_batch is not None:
-            on_batch(number)
-
-    query = (
-        files.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    return ingest_files(journals.scan_journals(spark, roots), store_root, salt, now_ms)
+
+
+def ingest_files(files: DataFrame, store_root: str, salt: str, now_ms: int | None = None) -> DataFrame:
+    """Bring the files that differ from the manifest into the store, as one batch; returns its summary row.
+
+    `files` has path, modificationTime, length and content. Changed files are read whole, once, into the
+    shared folder: what the manifest records is what was parsed, even if a file grows meanwhile. Every request
+    of such a file replaces its older version. The manifest is written last and commits the batch: a run that
+    fails before that leaves nothing visible, and the next one overwrites its files. One writer at a time.
+    """
+    spark = files.sparkSession
+    known = committed(spark, store_root)
+    number = (known.agg(F.max("batch")).first()[0] + 1) if known is not None else 0
+    state = _newest_state(known) if known is not None else spark.createDataFrame([], MANIFEST)
+    fresh = materialise(journals.incremental_files(files, state))
+    envelopes = materialise(journals.parse_envelopes(journals.split_lines(fresh)))
+    sessions = journals.session_ids(envelopes)
+    rows = materialise(normalise.normalise_requests(journals.replay_journal(envelopes), sessions, salt))
+    good = normalise.good(rows)
+    for name, table in normalise.child_tables(good, salt).items():
+        _write(table.withColumn("version", store.version_of(number)), store_root, name, number)
+    stats, drift = journals.journal_stats(envelopes), normalise.all_drift(rows, sessions, fresh)
+    _write(stats, store_root, "journal_stats", number)
+    _write(drift, store_root, "quarantine", number)
+    one = F.count(F.lit(1))
+    summary = files.agg(one.alias("files_considered"))
+    for part in (
+        fresh.agg(one.alias("files_ingested")),
+        good.agg(one.alias("requests")),
+        drift.agg(one.alias("quarantined")),
+        stats.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in LINE_COUNTS]),
+    ):
+        summary = attach(summary, part)
+    summary = summary.withColumn("files_skipped", F.col("files_considered") - F.col("files_ingested"))
+    _write(summary, store_root, "summary", number)
+    now_ms = time.time_ns() // 1_000_000 if now_ms is None else now_ms
+    _write(journals.ingested_state(fresh, now_ms), store_root, "manifest", number)
+    return spark.read.parquet(f"{store_root}/summary").where(F.col("batch") == number)
+
+
+def _write(table: DataFrame, store_root: str, name: str, number: int) -> None:
+    table.write.mode("overwrite").parquet(f"{store_root}/{name}/batch={number}")
+
+
+def committed(spark: SparkSession, store_root: str) -> DataFrame | None:
+    """Manifest rows of all committed batches; None before the first."""
+    try:
+        return spark.read.schema(f"{MANIFEST}, batch long").parquet(f"{store_root}/manifest")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _newest_state(manifest: DataFrame) -> DataFrame:
+    """The last recorded state of each file: one that returns to an older state counts as changed."""
+    state = F.struct("mtime_ms", "size_bytes", "content_hash", "last_ingested_at")
+    return manifest.groupBy("file_path").agg(F.max_by(state, "batch").alias("s")).select("file_path", "s.*")
+
+
+def read_batches(spark: SparkSession, store_root: str, name: str) -> DataFrame:
+    """Rows of a store table from committed batches, with their `batch`."""
+    last = committed(spark, store_root).agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{store_root}/{name}").where(F.col("batch") <= last)
 
 
 def read_current(spark: SparkSession, store_root: str, name: str) -> DataFrame:
     """Rows of the newest version of every request in an ingest store."""
-    latest = store.latest_versions(spark.read.parquet(f"{store_root}/request").drop("batch"))
+    latest = store.latest_versions(read_batches(spark, store_root, "request").drop("batch"))
     if name == "request":
         return latest
-    return store.surviving_children(spark.read.parquet(f"{store_root}/{name}").drop("batch"), latest)
+    return store.surviving_children(read_batches(spark, store_root, name).drop("batch"), latest)

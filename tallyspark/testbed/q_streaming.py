@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..streaming import alerts as A
-from ..streaming.jobs import collect_stream
+from ..session import checkpoint_dir
+from ..streaming.jobs import collect_stream, ingest_files, read_batches, read_current
+from .q_sources import HASH, SALT, journal_lines
 from .registry import query
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -92,3 +96,36 @@ def _(t):
     raw = t.spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
     rows = raw.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.col("value").alias("credits"), F.col("user_id").cast("string").alias("session_id"))
     return collect_stream(A.spend_windows(rows), "complete").select(F.unix_millis("span.start").alias("day_ms"), F.round("credits", 4).alias("credits"), "requests")
+
+
+def journal_store(t):
+    """Two ingests of the journals of all customers; those of even customers grow in place between them."""
+    lines = journal_lines(t).withColumn("number", F.regexp_extract("path", r"(\d+)\.jsonl$", 1).cast("long"))
+    # The first version lacks every third order, the late patch and the unusable lines.
+    first = (F.col("offset") == 0) | ((F.col("offset") < 1 << 40) & (F.floor((F.col("offset") - 10) / 10) % 3 != 0))
+    root = f"{checkpoint_dir(t.spark)}/ingest-{uuid4().hex}"
+
+    def files(rows, grown):
+        text = F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct(F.col("later"), F.col("offset"), F.col("line")))), lambda x: x["line"]))
+        whole = rows.groupBy("path", "number").agg(F.encode(text, "UTF-8").alias("content"))
+        mtime = F.timestamp_millis(F.lit(1_000) + F.when(F.lit(grown) & (F.col("number") % 2 == 0), 500).otherwise(0))
+        return whole.select("path", mtime.alias("modificationTime"), F.octet_length("content").cast("long").alias("length"), "content")
+
+    rows = lines.withColumn("later", ~first)
+    ingest_files(files(rows.where(~F.col("later")), False), root, SALT, 1)
+    ingest_files(files(rows.where(~F.col("later") | (F.col("number") % 2 == 0)), True), root, SALT, 2)
+    return root
+
+
+@query("r10_ingest_current", f"""SELECT CAST(o_orderkey AS VARCHAR) AS request_id, {HASH.format("'s' || o_custkey")} AS session_id, epoch_ms(o_orderdate) AS ts, o_orderkey * 10 AS prompt_tokens, turn_index,
+  CASE WHEN o_custkey % 2 = 0 AND turn_index = 0 THEN 12.5::DOUBLE END AS credits, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS version
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3 = 0, o_orderkey) - 1 AS turn_index FROM orders) WHERE o_orderkey % 9 <> 0 AND (o_orderkey % 3 <> 0 OR o_custkey % 2 = 0)""")
+def _(t):
+    return read_current(t.spark, journal_store(t), "request").select("request_id", "session_id", "ts", "prompt_tokens", "turn_index", "credits", "version")
+
+
+@query("r10_ingest_summary", """SELECT 0 AS batch, count(DISTINCT o_custkey) AS files_considered, count(DISTINCT o_custkey) AS files_ingested, 0::BIGINT AS files_skipped, count(*) FILTER (o_orderkey % 3 <> 0) AS requests, 0::BIGINT AS quarantined, 0::BIGINT AS malformed_lines, 0::BIGINT AS unrecognised_envelopes FROM orders
+UNION ALL SELECT 1, count(DISTINCT o_custkey), count(DISTINCT o_custkey) FILTER (o_custkey % 2 = 0), count(DISTINCT o_custkey) FILTER (o_custkey % 2 = 1), count(*) FILTER (o_custkey % 2 = 0 AND o_orderkey % 9 <> 0), count(*) FILTER (o_custkey % 2 = 0 AND o_orderkey % 9 = 0),
+  count(DISTINCT o_custkey) FILTER (o_custkey % 2 = 0), count(DISTINCT o_custkey) FILTER (o_custkey % 2 = 0) FROM orders""")
+def _(t):
+    return read_batches(t.spark, journal_store(t), "summary").select("batch", "files_considered", "files_ingested", "files_skipped", "requests", "quarantined", "malformed_lines", "unrecognised_envelopes")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.sources import journals as J
 from tallyspark.sources import normalise as N
-from tallyspark.streaming.jobs import ingest_journals, read_current
+from tallyspark.streaming.jobs import ingest_journals, read_batches, read_current
 
 SALT = "salt"
 
@@ -86,18 +86,35 @@ def test_a_snapshot_starts_over_and_deep_paths_are_created(spark, tmp_path):
     assert J.session_ids(envelopes).first()["raw_session_id"] == "new"
 
 
-def test_stream_ingest_replaces_instead_of_adding(spark, tmp_path):
+def test_ingest_reads_a_grown_journal_again(spark, tmp_path):
     snapshot = {"kind": 0, "v": {"sessionId": "s", "requests": [request(0)]}}
-    root = journal(tmp_path, snapshot)
-    store, mark = str(tmp_path / "store"), str(tmp_path / "mark")
-    ingest_journals(spark, root, store, mark, SALT)
-    late = {"kind": 1, "k": ["requests", 0, "copilotCredits"], "v": 4.0}
-    journal(tmp_path, snapshot, late, name="b.jsonl")
-    ingest_journals(spark, root, store, mark, SALT)
-    ingest_journals(spark, root, store, mark, SALT)
-    rows = read_current(spark, store, "request").collect()
-    assert [(r["request_id"], r["credits"]) for r in rows] == [("q0", 4.0)]
-    assert read_current(spark, store, "edit").agg(F.sum("edit_count")).first()[0] == 2
+    root, store = journal(tmp_path, snapshot), str(tmp_path / "store")
+    other = {"kind": 0, "v": {"sessionId": "t", "requests": [request(7)]}}
+    journal(tmp_path, other, name="b.jsonl")
+    first = ingest_journals(spark, ["/nowhere", root], store, SALT).first()
+    assert (first["files_ingested"], first["files_skipped"], first["requests"]) == (2, 0, 2)
+    # The same file grows: a patch, a new request, a broken line; a third file holds no session.
+    patch = {"kind": 1, "k": ["requests", 0, "copilotCredits"], "v": 4.0}
+    journal(tmp_path, snapshot, patch, {"kind": 2, "k": ["requests"], "v": [request(1), request(2, requestId=None)]}, "{oops")
+    journal(tmp_path, '{"kind": 9}', name="c.jsonl")
+    second = ingest_journals(spark, [root], store, SALT).first()
+    assert (second["files_considered"], second["files_ingested"], second["files_skipped"]) == (3, 2, 1)
+    assert (second["requests"], second["quarantined"], second["malformed_lines"], second["unrecognised_envelopes"]) == (2, 2, 1, 1)
+    third = ingest_journals(spark, [root], store, SALT).first()
+    assert (third["files_ingested"], third["files_skipped"], third["requests"]) == (0, 3, 0)
+    rows = {r["request_id"]: (r["credits"], r["version"]) for r in read_current(spark, store, "request").collect()}
+    assert rows == {"q0": (4.0, 1), "q1": (None, 1), "q7": (None, 0)}
+    assert read_current(spark, store, "edit").agg(F.sum("edit_count")).first()[0] == 6
+    drift = {(r["source_file"], r["turn_index"], r["drift"]) for r in read_batches(spark, store, "quarantine").collect()}
+    assert drift == {("ws1/chatSessions/a.jsonl", 2, "requestId"), ("ws1/chatSessions/c.jsonl", None, N.FILE_DRIFT)}
+
+
+def test_an_uncommitted_batch_is_not_seen(spark, tmp_path):
+    root, store = journal(tmp_path, {"kind": 0, "v": {"sessionId": "s", "requests": [request(0)]}}), str(tmp_path / "store")
+    ingest_journals(spark, [root], store, SALT)
+    rows = read_current(spark, store, "request")
+    rows.withColumns({"credits": F.lit(9.0), "version": F.lit(1).cast("long")}).write.parquet(f"{store}/request/batch=1")
+    assert read_current(spark, store, "request").first()["credits"] is None
 
 
 def test_unchanged_files_are_skipped(spark, tmp_path):
