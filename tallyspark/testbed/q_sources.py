@@ -288,11 +288,10 @@ def _(t):
         S.length_bucket(q).alias("bucket"), S.band_of(q, F.lit(10), F.lit(30)).alias("band"), S.damp(F.col("l_discount"), S.realisation(F.lit("A"), "low")).alias("damped"), S.week_start(F.to_date("l_shipdate")).alias("week")), 8)
 
 
-@query("j03_find_rates", """SELECT model, CASE WHEN model LIKE '%LOW%' OR model = '5-low' THEN NULL ELSE (SELECT rate FROM (SELECT model AS m, round(rate, 6) AS rate FROM rate_card) WHERE m = upper(regexp_replace(w.model, '_', '-'))) END AS rate
-FROM (SELECT DISTINCT unnest([o_orderpriority, lower(replace(o_orderpriority, '-', '_'))]) AS model FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) w""")
+@query("j03_find_rates", """SELECT model, (SELECT round(rate, 6) FROM rate_card c WHERE c.model = upper(replace(w.model, '_', '-'))) AS rate
+FROM (SELECT DISTINCT unnest([o_orderpriority, lower(replace(o_orderpriority, '-', '_'))]) AS model FROM orders) w""")
 def _(t):
     from ..operators.pricing import derive_rate_card, find_rates
 
-    named = t.request.where(F.col("model").isin("1-URGENT", "2-HIGH", "3-MEDIUM")).select(
-        F.explode(F.array("model", F.lower(F.translate("model", "-", "_")))).alias("model")).distinct()
+    named = t.request.select(F.explode(F.array("model", F.lower(F.translate("model", "-", "_")))).alias("model")).distinct()
     return rounded(find_rates(named, derive_rate_card(t.request)).select("model", "rate"), 6)
