@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from .common import written
-from .tokens import Encoder, chunks
+from .tokens import chunks, worker_encoder
 
 BLOCK = 1 << 16
 MAGIC = b"IDPACK01"
@@ -149,7 +149,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int, path: str, files: int)
     bounds = np.unique(np.array(bounds if marks else [], np.int64))
 
     def encode(batches):
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         width = "<u2" if encoder.vocabulary <= 1 << 16 else "<u4"
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -168,7 +168,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int, path: str, files: int)
 
         for batch in batches:
             if bits is None:
-                size = Encoder(tokenizer).vocabulary
+                size = worker_encoder(tokenizer).vocabulary
                 bits, width = max(1, (max(size - 1, end)).bit_length()), "<u2" if size <= 1 << 16 else "<u4"
             for doc_id, file, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "file", "ids")), strict=True):
                 if file != current:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import written
-from .tokens import Encoder, chunks
+from .tokens import chunks, worker_encoder
 
 PART = 40_000
 
@@ -95,7 +95,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, end: int, tokens: int) -> D
     """
 
     def cut(batches):
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             rows, at = [], 0
@@ -132,7 +132,7 @@ def conversation_examples(turns: DataFrame, tokenizer: str, end: int) -> DataFra
     """
 
     def measure(batches):
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for batch in batches:
             lengths = [len(e) for part in chunks(batch.column("text").to_pylist()) for e in encoder.encode(part, end)]
             said = [r == "assistant" for r in batch.column("role").to_pylist()]

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 
@@ -21,7 +23,7 @@ LINE_TOKEN = "Ċ"  # a line break in the byte alphabet of the vocabulary
 
 
 class Encoder:
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # cores are shared out by Spark
         from tokenizers import Tokenizer
 
@@ -173,7 +175,19 @@ class Encoder:
         return out
 
 
-def chunks(texts: list[str | None], most: int = 1 << 20):
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker. Spark reuses workers, so pieces learnt in one task serve the next.
+
+    A worker holds one encoder, of at most `limit` pieces and those of one chunk. It lives in a module of the
+    process, as the functions of a task, and their globals, are made anew for each task.
+    """
+    held = sys.modules.setdefault("tallyspark_worker", ModuleType("tallyspark_worker")).__dict__
+    if held.get("path") != path:
+        held["path"], held["encoder"] = path, Encoder(path)
+    return held["encoder"]
+
+
+def chunks(texts: list[str | None], most: int = 1 << 21):
     """Texts of a batch, about `most` characters at a time."""
     at = 0
     while at < len(texts):
