@@ -79,6 +79,25 @@ def test_language_model_beats_unigrams_and_counts_exactly(spark, odd):
     assert own["score"].sum() > own["base_score"].sum()
 
 
+def test_network_learns_from_every_training_document(spark):
+    # The 3,000 first training documents by hash hold one pattern; only those beyond them hold the other.
+    ids = spark.range(8_000).select(F.col("id").alias("doc_id"))
+    first = ids.where(learns("doc_id", 5)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(3_000).withColumn("first", F.lit(True))
+    early, late = (" ".join(f"{x}{i % 5}" for i in range(20)) for x in "pq")
+    docs = ids.join(first, "doc_id", "left").select("doc_id", F.when(F.col("first"), early).otherwise(late).alias("text"))
+    own = lm.score_documents(docs).where("held_out").toPandas()
+    gain = (own["score"] - own["base_score"]) / own["n_tokens"]
+    assert len(own) > 1_000 and gain.min() > 0.7  # of 1.0: the place of each word tells the next
+
+
+def test_windows_hold_every_token_once_and_in_order(monkeypatch):
+    monkeypatch.setattr(lm, "LANES", 3)
+    lengths = [1, 2, lm.WINDOW - 1, lm.WINDOW, lm.WINDOW + 1, 2 * lm.WINDOW, 400, 5, 0, 33]
+    docs = [np.array([-1, *range(1000 * d, 1000 * d + n)]) for d, n in enumerate(lengths, 1)]
+    told = [(before, x) for block in lm._blocks(iter(docs)) for lane in block.T for before, x in zip(lane[:-1], lane[1:]) if x >= 0]
+    assert sorted(told) == sorted((before, x) for d in docs for before, x in zip(d[:-1], d[1:]))
+
+
 def test_words_beyond_the_held_ones_come_by_the_join(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     monkeypatch.setattr(lm, "ROUNDS", 0)
