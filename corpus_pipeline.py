@@ -46,7 +46,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The tokenizer, the language models and the walks have no counterpart in SQL.
+#: The tokenizer, the language models and the edit distances have no counterpart in SQL.
 ORACLE_SQL = None
 
 

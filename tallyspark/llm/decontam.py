@@ -1,28 +1,19 @@
 """Benchmark decontamination: windows of a document within a small edit distance of a benchmark item.
 
-Words are embedded by a CGK random walk, which repeats each word a random number of times, so that few
-edits between two passages become few differing places. For every window as long as an item, some places
-of the walk are sampled; windows and items that agree on a sample are candidates, over enough repeated
-walks to reach the target recall, which is measured on edited copies of the items. Each candidate is then
-settled by its exact edit distance in words.
+A window that matches keeps all of an item's words but the allowed edits, near their places. Windows that do not
+are skipped, which is exact; every other window is settled by its edit distance in words.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
-
 WORD = re.compile(r"\w+")
-PLACES = 3
-RECALL = 0.995
-MOST_WALKS = 40
 #: Benchmark text handled in one pass over the documents; a larger benchmark takes several passes.
 BLOCK_BYTES = 16 << 20
 SHORTEST = 5
@@ -32,7 +23,6 @@ RARE = 3e-4
 LEAST = 3
 #: Room for the places of one item among the sorted votes: words at once, and items' lengths before the first.
 SPAN, MARGIN = 1 << 40, 1 << 20
-UNKNOWN = mix(np.array([1], np.uint64))[0]
 
 
 def normalised(text: str | None) -> list[str]:
@@ -45,33 +35,6 @@ def allowance(n: int, share: float) -> int:
     return int(share * n + 1e-9)
 
 
-def walk(seed: int, steps: int) -> np.ndarray:
-    """A multiplier for each step; with a symbol's hash it decides between a step onward and a stay."""
-    return mix(np.arange(steps, dtype=np.uint64) + (np.uint64(seed + 1) << np.uint64(32))) | np.uint64(1)
-
-
-def hashes(ids: np.ndarray, pad: int) -> np.ndarray:
-    """64-bit hashes of symbols, followed by `pad` unknown ones (symbol 0)."""
-    return np.concatenate([mix(ids.astype(np.uint64) + np.uint64(1)), np.full(pad, UNKNOWN)])
-
-
-def sampled(symbols: np.ndarray, starts: np.ndarray, steps: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A key of the symbols at the sampled places of the walk from each start, and whether all are known words.
-
-    `symbols` are padded beyond the last start by the walk's length.
-    """
-    at = starts.astype(np.int64).copy()
-    key, known = np.full(len(at), 1, np.uint64), np.ones(len(at), bool)
-    wanted = set(places.tolist())
-    for j in range(int(places[-1]) + 1):
-        symbol = symbols[at]
-        if j in wanted:
-            key = mix(key ^ symbol)
-            known &= symbol != UNKNOWN
-        at += ((symbol * steps[j]) >> np.uint64(63)).astype(np.int64)
-    return key, known
-
-
 def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Least edits between the item and any part of the text, and where that part ends."""
     row = np.zeros(len(text) + 1, np.int64)
@@ -85,10 +48,9 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Index:
-    """Items of one block: their vocabulary, and the keys of their walks in bins of similar length."""
+    """Items of one block: their vocabulary, and where each word stands in them."""
 
-    def __init__(self, items: list[tuple[int, str | None]], share: float, seed: int = 11) -> None:
-        self.share = share
+    def __init__(self, items: list[tuple[int, str | None]], share: float) -> None:
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for item_id, text in items:
@@ -100,40 +62,6 @@ class Index:
         self.postings = tuple(np.array(order, np.int64).reshape(-1, 3).T)
         self.lengths = np.array([len(ids) for _, ids in self.items], np.int64)
         self.edits = np.array([allowance(n, share) for n in self.lengths], np.int64)
-        self.bins = []
-        rng = np.random.default_rng(seed)
-        by_bin: dict[int, list[int]] = defaultdict(list)
-        for i, (_, ids) in enumerate(self.items):
-            by_bin[int(np.log(len(ids)) / np.log(1.25))].append(i)
-        for members in by_bin.values():
-            lengths = [len(self.items[i][1]) for i in members]
-            shortest = min(lengths)
-            # A walk takes about two steps a word; staying within the shortest item keeps places inside all.
-            steps = max(PLACES, int(1.6 * shortest))
-            rate = self._measure(members, steps, rng)
-            walks = int(np.clip(np.ceil(np.log(1 - RECALL) / np.log(1 - rate)), 4, MOST_WALKS)) if rate < 1 else 4
-            tables = []
-            for w in range(walks):
-                path, place = walk(w, steps), np.sort(rng.choice(steps, PLACES, replace=False))
-                keys: dict[int, list[int]] = defaultdict(list)
-                for i in members:
-                    key, _ = sampled(hashes(self.items[i][1], steps), np.zeros(1, np.int64), path, place)
-                    keys[int(key[0])].append(i)
-                own = np.array(sorted(keys), np.uint64)
-                tables.append((path, place, own, [keys[int(k)] for k in own]))
-            self.bins.append((members, steps, tables))
-
-    def _measure(self, members: list[int], steps: int, rng, tries: int = 200) -> float:
-        """How often one walk finds a copy with all the edits that are allowed."""
-        hits = 0
-        for t in range(tries):
-            ids = self.items[members[t % len(members)]][1]
-            copy = edited(ids, allowance(len(ids), self.share), rng)
-            path, place = walk(1_000 + t, steps), np.sort(rng.choice(steps, PLACES, replace=False))
-            want, _ = sampled(hashes(ids, steps), np.zeros(1, np.int64), path, place)
-            got, known = sampled(hashes(copy, steps), np.zeros(1, np.int64), path, place)
-            hits += bool(known[0] and got[0] == want[0])
-        return max(hits, 1) / tries
 
     def search(self, docs: list[list[str]]) -> list[tuple[int, int, int, int, int]]:
         """(document, item, first word, words, edits): the best match of each item in each of some documents."""
@@ -144,24 +72,14 @@ class Index:
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for d in docs for w in d), np.int64, n)
         windows = self._windows(ids)
-        found: dict[tuple[int, int], set[int]] = defaultdict(set)
-        symbols = hashes(ids, max(steps for _, steps, _ in self.bins))
-        for members, steps, tables in self.bins:
-            starts = np.unique(np.concatenate([windows.get(i, np.empty(0, np.int64)) for i in members]))
-            if not len(starts):
-                continue
-            own = np.searchsorted(bounds, starts, "right") - 1
-            for path, place, keys, holders in tables:
-                key, known = sampled(symbols, starts, path, place)
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                for s in np.flatnonzero(known & (keys[at] == key)):
-                    for i in holders[at[s]]:
-                        found[(int(own[s]), i)].add(int(starts[s] - bounds[own[s]]))
         out = []
-        for (doc, i), starts in found.items():
-            best = self._settled(self.items[i][1], ids[bounds[doc] : bounds[doc + 1]], sorted(starts))
-            if best:
-                out.append((doc, i, *best))
+        for i, starts in windows.items():
+            own = np.searchsorted(bounds, starts, "right") - 1
+            for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(own)) + 1):
+                doc = int(own[part[0]])
+                best = self._settled(i, ids[bounds[doc] : bounds[doc + 1]], (starts[part] - bounds[doc]).tolist())
+                if best:
+                    out.append((doc, i, *best))
         return out
 
     def _windows(self, ids: np.ndarray) -> dict[int, np.ndarray]:
@@ -201,9 +119,9 @@ class Index:
             out[int(i)] = np.unique(np.clip(starts, 0, len(ids) - 1))
         return out
 
-    def _settled(self, item: np.ndarray, ids: np.ndarray, starts: list[int]) -> tuple[int, int, int] | None:
+    def _settled(self, i: int, ids: np.ndarray, starts: list[int]) -> tuple[int, int, int] | None:
         """First word, words and edits of the best match near the candidate starts, if it is near enough."""
-        edits = allowance(len(item), self.share)
+        item, edits = self.items[i][1], int(self.edits[i])
         best, done = None, -1
         for s in starts:
             if s <= done:  # an earlier candidate looked at all places that this one could match
@@ -226,21 +144,6 @@ def _length(item: np.ndarray, text: np.ndarray) -> int:
     return int(row.argmin())
 
 
-def edited(ids: np.ndarray, edits: int, rng) -> np.ndarray:
-    """A copy with so many words replaced by unknown ones, deleted or inserted, the first word apart."""
-    out = ids.tolist()
-    for _ in range(edits):
-        at = int(rng.integers(1, max(2, len(out))))
-        kind = rng.integers(3)
-        if kind == 0 and at < len(out):
-            out[at] = 0
-        elif kind == 1 and at < len(out) and len(out) > 2:
-            del out[at]
-        else:
-            out.insert(at, 0)
-    return np.array(out, np.int64)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> DataFrame:
     """doc_id, item_id, first_word, n_words, edits, item_words: each item's best match in each document.
 

@@ -177,6 +177,24 @@ def test_contaminated_documents_are_found(spark, docs, odd):
     assert left.columns == odd.columns and left.count() == odd.count() + len(planted) - len({d for d, _, _ in want})
 
 
+def test_no_copy_within_the_allowance_is_missed():
+    """Copies with all the edits that are allowed, in any place, the first word included, by item length."""
+    rng = np.random.default_rng(3)
+    for n in (15, 30, 59, 100, 150, 200):
+        item = [f"w{x}" for x in rng.integers(0, 5_000, n)]
+        index = decontam.Index([(1, " ".join(item))], 0.2)
+        edits = decontam.allowance(n, 0.2)
+        copies = []
+        for c in range(100):
+            copy = list(item)
+            for e in range(edits):
+                at = int(rng.integers(len(copy))) if c % 4 or e else 0
+                copy[at : at + 1] = [["zz"], [], [copy[at], "yy"]][int(rng.integers(3))]
+            copies.append([f"a{x}" for x in range(7)] + copy + ["b"] * 9)
+        found = index.search(copies)
+        assert len(found) == len(copies) and max(x[4] for x in found) <= edits, n
+
+
 def test_equal_documents_in_bulk_change_nothing(spark):
     """Words that are frequent because of copies are no longer rare; the matches stay."""
     item = " ".join(f"q{i}" for i in range(30))
