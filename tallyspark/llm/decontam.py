@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 #: Benchmark text handled in one pass over the documents; a larger benchmark takes several passes.
 BLOCK_BYTES = 16 << 20
+#: Items of fewer words are found as exact runs of words only.
 SHORTEST = 5
 #: Documents searched at once; the share of their words below which a word is rare; least rare words to go by.
 DOCUMENTS = 500
@@ -55,13 +56,13 @@ class Index:
         self.items: list[tuple[int, np.ndarray]] = []
         for item_id, text in items:
             found = normalised(text)
-            if len(found) >= SHORTEST:
+            if found:
                 ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found]
                 self.items.append((item_id, np.array(ids, np.int64)))
         order = sorted((w, i, o) for i, (_, ids) in enumerate(self.items) for o, w in enumerate(ids.tolist()))
         self.postings = tuple(np.array(order, np.int64).reshape(-1, 3).T)
         self.lengths = np.array([len(ids) for _, ids in self.items], np.int64)
-        self.edits = np.array([allowance(n, share) for n in self.lengths], np.int64)
+        self.edits = np.array([allowance(n, share) if n >= SHORTEST else 0 for n in self.lengths], np.int64)
 
     def search(self, docs: list[list[str]]) -> list[tuple[int, int, int, int, int]]:
         """(document, item, first word, words, edits): the best match of each item in each of some documents."""
@@ -132,6 +133,8 @@ class Index:
             if distance <= edits and (best is None or distance < best[2]):
                 length = _length(item[::-1], ids[low : low + end][::-1])
                 best = (low + end - length, length, distance)
+                if not distance:
+                    break
         return best
 
 
@@ -148,8 +151,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> D
     """doc_id, item_id, first_word, n_words, edits, item_words: each item's best match in each document.
 
     A match is a run of the document's words within `share` of the item's length in word edits, after
-    lower-casing and leaving out punctuation. Items of fewer than five words, null items and null or empty
-    texts match nothing; equal items match each by itself; repeated rows are all reported. The documents are
+    lower-casing and leaving out punctuation. Items of fewer than five words match exact
+    runs of words only. Null items and null or empty texts match nothing; equal items match each by itself; repeated rows are all reported. The documents are
     read once for each BLOCK_BYTES of benchmark text and never shuffled.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")

@@ -195,6 +195,15 @@ def test_no_copy_within_the_allowance_is_missed():
         assert len(found) == len(copies) and max(x[4] for x in found) <= edits, n
 
 
+def test_short_items_match_exact_runs_of_words():
+    items = [(1, "Why?"), (2, "What is love"), (3, "is it"), (4, "one two three four"), (5, "!"), (6, None)]
+    docs = ["so why not", "what, IS love: is it", "what is a love", "one two three x four", "zero one two three four five", "is", "it is", "that is", "it and what", "is love", ""]
+    for share in (0.2, 0.5):
+        found = decontam.Index(items, share).search([decontam.normalised(d) for d in docs])
+        # "why"; "what is love" and "is it" beside it; all four words. Runs that go over the end of a document are none.
+        assert {(d, items[i][0], first, n, e) for d, i, first, n, e in found} == {(0, 1, 1, 1, 0), (1, 2, 0, 3, 0), (1, 3, 3, 2, 0), (4, 4, 1, 4, 0)}
+
+
 def test_equal_documents_in_bulk_change_nothing(spark):
     """Words that are frequent because of copies are no longer rare; the matches stay."""
     item = " ".join(f"q{i}" for i in range(30))
