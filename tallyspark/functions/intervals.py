@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOP = 2**31 - 1
+#: The last line; two more still fit a long.
+TOP = 2**63 - 3
 
 
 def bounded(line: Column) -> Column:
@@ -31,17 +32,16 @@ def clipped(end: Column, reach: Column) -> Column:
 
 def levels_for(reach: Column) -> Column:
     """Block levels that span lines 0 to reach + 1."""
-    return F.ceil(F.log2(reach + F.lit(2))).cast("int")
+    return F.length(F.bin(reach + 1))
 
 
 def _blocks(start: Column, end: Column, levels: Column) -> Column:
     """Array of (level, block, covers): cover blocks and their enclosing blocks."""
 
     def at_level(level: Column) -> Column:
-        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
-        low = F.floor((start + size - 1) / size)
-        high = F.floor((end + 1) / size)
-        first, last = F.floor(start / size), F.floor(end / size)
+        halved = lambda line: F.call_function("shiftright", line, level)
+        low, high = halved(start - 1) + 1, halved(end + 1)
+        first, last = halved(start), halved(end)
 
         def block(at: Column, covers: bool) -> Column:
             return F.struct(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -60,7 +61,11 @@ def _weights(hashes: np.ndarray, draws: int) -> np.ndarray:
     mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     uniform = ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
-    steps = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(12)])
+    # Counts whose chance is below the precision of the draw, 2^-53, are the last.
+    chances = [math.exp(-1.0)]
+    while chances[-1] >= 2.0**-53:
+        chances.append(chances[-1] / len(chances))
+    steps = np.cumsum(chances)
     return np.hstack([np.ones((len(hashes), 1)), np.searchsorted(steps, uniform)])
 
 

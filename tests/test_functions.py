@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
-from tallyspark.functions.intervals import TOP, first_overlapping
+from tallyspark.functions.intervals import TOP, bounded, clipped, first_overlapping, levels_for
 from tallyspark.functions.ordered import latest_before, row_numbers, running
 from tallyspark.functions.quantiles import interpolated, med_mid, med_upper, q_ceil, q_floor, rank_pick
 
@@ -79,6 +79,28 @@ def test_overlaps_match_pairwise_comparison(spark):
         assert r["inner_first"] == min(v for e, v in hits if e == r["e"])
 
 
+def test_lines_beyond_int_range_overlap_only_where_they_meet(spark):
+    base = 2**53
+    rows = [(2**31 + 5, 2**31 + 9), (2**31 + 10, 2**31 + 12), (base + 1, base + 1), (base + 2, base + 3), (base + 3, TOP), (2**62, 2**62 + 1), (0, 2**31 + 4)]
+    df = spark.createDataFrame([("f", 0, *r, i) for i, r in enumerate(rows)], "k string, e int, s long, t long, label long")
+    df = df.withColumn("s", bounded(F.col("s"))).withColumn("t", bounded(F.col("t")))
+    df = df.withColumn("t", clipped(F.col("t"), F.lit(2**62 + 1))).withColumn("levels", levels_for(F.lit(2**62 + 1)))
+    out = first_overlapping(df, ["k"], "e", "s", "t", "label", "inner_first", "first", "levels").collect()
+    got = {r["s"]: r["first"] for r in out}
+    assert got == {s: min(i for i, (a, b) in enumerate(rows) if a <= t and s <= b) for s, t in rows}
+
+
+def test_poisson_counts_go_to_the_precision_of_the_draw(monkeypatch):
+    import numpy as np
+
+    from tallyspark.operators import causal
+
+    seen = []
+    monkeypatch.setattr(causal.np, "searchsorted", lambda steps, u: seen.append(steps) or np.zeros(u.shape))
+    causal._weights(np.arange(3), 2)
+    assert seen[0][-1] >= 1 - 2.0**-52 and len(seen[0]) > 15
+
+
 def test_path_spellings_agree(spark):
     spellings = ["file:///C%3A/Work//A.py", "c:\\work\\a.py", " /c:/Work/A.py "]
     df = spark.createDataFrame([(p,) for p in spellings], "p string")
