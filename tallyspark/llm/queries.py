@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, embeddings, idpack, lines, lm, minhash, packing, search, sharding, toxicity, wordpiece
+from . import conversations, decontam, embeddings, idpack, lines, lm, minhash, packing, repeats, search, sharding, toxicity, wordpiece
 from .common import table
 from .registry import query
 
@@ -117,3 +117,11 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 def _(spark, sf_dir):
     index, n = search.build_index(table(spark, sf_dir, "documents"))
     return search.search(index, n, table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query("op12_suffix_dedup")
+def _(spark, sf_dir):
+    cut = repeats.cut_repeats(table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    n_spans = F.size("removed").cast("long").alias("n_spans")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), n_spans, F.sha2("kept", 256).alias("kept_sha256"))
