@@ -14,8 +14,8 @@ search. Neighbours' extensions are then checked byte by byte, which proves the o
 the sort begin again with another hash. Windows at offset o before their anchors are equal exactly if their
 contexts share `length - o` bytes forward and o bytes backward: both are intervals of the two orders.
 
-A bucket of more than `BUCKET` different contexts is not gathered: its windows are counted by 128-bit names, with
-partial sums before the shuffle.
+A bucket of more than `BUCKET` different contexts is not gathered: names of what blocks of windows have in common are
+counted, then 128-bit names of the windows in blocks met twice, with partial sums before the shuffle.
 """
 
 from __future__ import annotations
@@ -299,8 +299,12 @@ def _compare_buckets(length: int):
     return search
 
 
-def _name_windows(length: int):
-    """One row for each window of large buckets: g, u, its number and its 128-bit name."""
+def _name_windows(length: int, step: int):
+    """Windows of large buckets by blocks of `step` offsets: g, u, low, x, y, where (x, y) is a 128-bit name.
+
+    Without a column `blocks` there is one row for each block that holds windows of the context: `low` is the block, and the
+    name is that of the bytes that all its windows share. With it there is one row for each window of the listed blocks.
+    """
     names = ["g", "u", "low", "x", "y"]
 
     def name(batches):
@@ -308,14 +312,26 @@ def _name_windows(length: int):
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 data = np.frombuffer(b"".join(part.column("context").to_pylist()), np.uint8)
-                w = part.column("w").to_numpy().astype(np.int64)
-                row = np.repeat(np.arange(len(w)), w)
-                low = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+                w, offset = (part.column(c).to_numpy().astype(np.int64) for c in ("w", "o"))
                 sizes = w + length - 1
-                start = (np.cumsum(sizes) - sizes)[row] + low
+                anchor = np.cumsum(sizes) - sizes + offset
+                if "blocks" in part.schema.names:
+                    listed = part.column("blocks")
+                    many = np.diff(listed.offsets.to_numpy())
+                    row = np.repeat(np.arange(len(w)), many * step)
+                    o = (listed.flatten().to_numpy()[:, None].astype(np.int64) * step + np.arange(step)).ravel()
+                    inside = (o <= offset[row]) & (o > offset[row] - w[row])
+                    row, o = row[inside], o[inside]
+                    left, size, low = o, np.full(len(o), length), offset[row] - o
+                else:
+                    first, last = (offset - w + 1) // step, offset // step
+                    row = np.repeat(np.arange(len(w)), last - first + 1)
+                    low = np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[row]
+                    left = low * step
+                    size = np.full(len(row), length - step + 1)
+                start = anchor[row] - left
                 # Equal windows of a bucket stand at the same offset from their anchor, which is part of the name.
-                o = (part.column("o").to_numpy().astype(np.int64)[row] - low).astype(np.uint64)
-                xy = [mix(h.of(h.prefix(data), start, start + length) + o).view(np.int64) for h in (_hasher(1), _hasher(2))]
+                xy = [mix(h.of(h.prefix(data), start, start + size) + left.astype(np.uint64)).view(np.int64) for h in (_hasher(1), _hasher(2))]
                 take = pa.array(row)
                 columns = [part.column("g").take(take), part.column("u").take(take), pa.array(low.astype(np.int32)), *map(pa.array, xy)]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -323,17 +339,33 @@ def _name_windows(length: int):
     return name
 
 
+def _counted(large: DataFrame, length: int) -> DataFrame:
+    """Repeated windows of buckets of any size, by counted names: first the cores of blocks of windows, then windows of those met twice."""
+    step = max(1, int((length / 2) ** 0.5))
+    schema = "g long, u long, low int, x long, y long"
+
+    def twice(names: DataFrame) -> DataFrame:
+        # Written by itself, so that a very common name's rows can be split in the join.
+        common = written(names.groupBy("g", "x", "y").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+        return names.join(common, ["g", "x", "y"])
+
+    blocks = twice(large.mapInArrow(_name_windows(length, step), schema)).groupBy("g", "u").agg(F.collect_set("low").alias("blocks"))
+    windows = large.join(blocks, ["g", "u"]).select("g", "u", "o", "w", "context", "blocks")
+    found = twice(written(windows.mapInArrow(_name_windows(length, step), schema)))
+    return found.select("g", "u", "low", F.col("low").alias("high"))
+
+
 def _fetch(length: int):
-    names = ["g", "u", "o", "w", "context"]
+    names = ["g", "u", "o", "w", "different", "context"]
 
     def fetch(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for row, asked in enumerate(batch.column("asked").to_pylist()):
                 data = texts[row].as_py()
-                rows = [(x["g"], x["u"], x["o"], x["w"], data[x["s"] : x["s"] + x["w"] - 1 + length]) for x in asked]
+                rows = [(x["g"], x["u"], x["o"], x["w"], x["different"], data[x["s"] : x["s"] + x["w"] - 1 + length]) for x in asked]
                 columns = list(zip(*rows, strict=True))
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return fetch
@@ -348,10 +380,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buc
     """a, b, ranges: for each text (by its 128-bit name) with repeated windows, where they start: array of (low, high)."""
     named = _named(docs)
     every = written(named.where(F.octet_length("text") >= length).mapInArrow(_find_anchors(length, gram), ANCHORS))
-    twice = every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # Narrow tables of counts are written by themselves, so that a very common substring's rows can be split in the joins.
+    twice = written(every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     held = written(every.join(twice, "g"))
     contexts = written(held.groupBy("g", "u", "o", "w").agg(F.count("*").alias("n"), F.min(F.struct("a", "doc_id", "s")).alias("at")))
-    mixed = contexts.groupBy("g").agg(F.count("*").alias("different")).where("different > 1")
+    mixed = written(contexts.groupBy("g").agg(F.count("*").alias("different")).where("different > 1"))
     asked = contexts.join(mixed, "g")
     places = asked.groupBy(F.col("at.a").alias("a"), F.col("at.doc_id").alias("of")).agg(
         F.collect_list(F.struct("g", "u", "o", "w", F.col("at.s").alias("s"), "different")).alias("asked")
@@ -359,13 +392,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buc
     # Texts are shuffled; a plan that broadcasts the places of a small corpus would not hold for a large one.
     t, p = named.alias("t"), places.hint("merge").alias("p")
     found = t.join(p, (F.col("t.a") == F.col("p.a")) & F.col("t.doc_id").eqNullSafe(F.col("p.of"))).select("text", "asked")
-    strings = written(found.mapInArrow(_fetch(length), "g long, u long, o int, w int, context binary")).join(mixed, "g")
+    strings = written(found.mapInArrow(_fetch(length), "g long, u long, o int, w int, different long, context binary"))
     small = strings.where(F.col("different") <= bucket).drop("different").repartition("g").sortWithinPartitions("g")
     compared = small.mapInArrow(_compare_buckets(length), RANGES)
-    large = strings.where(F.col("different") > bucket).drop("different").dropDuplicates(["g", "u"])
-    windows = large.mapInArrow(_name_windows(length), "g long, u long, low int, x long, y long")
-    common = windows.groupBy("g", "x", "y").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = windows.join(common, ["g", "x", "y"]).select("g", "u", "low", F.col("low").alias("high"))
+    large = written(strings.where(F.col("different") > bucket).drop("different").dropDuplicates(["g", "u"]))
+    counted = _counted(large, length)
     whole = contexts.where("n > 1").select("g", "u", F.lit(0).alias("low"), (F.col("w") - 1).alias("high"))
     # Windows of contexts that occur twice are repeated anyway.
     ranges = written(compared.union(counted).join(whole.select("g", "u"), ["g", "u"], "left_anti").union(whole))
