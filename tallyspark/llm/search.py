@@ -202,7 +202,8 @@ def search(index: DataFrame, n: int, items: DataFrame, k: int = 50) -> DataFrame
         vocabulary = sorted({t for _, s in sets for t in s})
         numbers = {t: i for i, t in enumerate(vocabulary)}
         named = spark.createDataFrame([*numbers.items()], "term string, term_no long")
-        postings = index.where("term IS NOT NULL").join(named, "term")
+        # The words of BLOCK_BYTES of text at most; broadcast, so that the index is filtered where it is read.
+        postings = index.where("term IS NOT NULL").join(F.broadcast(named), "term")
         df = postings.groupBy("term_no").agg(F.sum(F.size("slots")).alias("df"))
         weight = F.floor(1000 * F.log((2 * F.lit(n) + 2) / (2 * F.col("df") + 1)))
         weights = np.zeros(max(1, len(vocabulary)), np.int64)
