@@ -1,8 +1,10 @@
-"""Exact order statistics by counting, then looking inside one value bucket.
+"""Exact order statistics by counting, then looking inside ever narrower ranges.
 
-Values are first reduced to distinct value counts, then to a histogram with at most a
-few tens of thousands of buckets per tenant. The histogram says which bucket holds the
-wanted position, and only the distinct values of that bucket are sorted.
+Values are first reduced to distinct value counts, then to a histogram of logarithmic buckets, which says
+where the wanted position lies. That bucket is divided evenly between its least and greatest value, the part
+that holds the position is divided again, and only the distinct values of the last part are sorted. A
+logarithmic bucket spans a factor of 2^(1/32), in which there are 2^47 doubles at most; two divisions by
+`PARTS` leave 2^19 of them, however the values are spread. Repeated values are a count and need no room.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from .ordered import value_bucket
 
 Rank = Callable[[Column], Column]
 
+PARTS = 1 << 14
+
 
 def q_floor(q: float) -> Rank:
     """Zero-based index floor(n * q)."""
@@ -69,8 +73,10 @@ def rank_pick(
         (F.col("_want.rank") > F.col("_before"))
         & (F.col("_want.rank") <= F.col("_before") + F.col("_hc"))
     )
-    inside = wanted.select(*by, "_b", "_before", "_n", F.col("_want.name").alias("_name"),
-                           F.col("_want.rank").alias("_rank")).join(counts, [*by, "_b"])
+    wanted = wanted.select(
+        *by, "_b", "_before", "_n", F.col("_want.name").alias("_name"), F.col("_want.rank").alias("_rank")
+    )
+    inside = _divided(_divided(wanted.join(counts, [*by, "_b"]), by), by)
     within = (
         Window.partitionBy(*by, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -85,6 +91,38 @@ def rank_pick(
     return hits.groupBy(*by).agg(*picked) if by else hits.agg(*picked)
 
 
+def _divided(inside: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of the one part, of `PARTS` even ones, that holds each wanted rank; what lies below it goes to `_before`.
+
+    `inside`: distinct values `_v` with counts `_c` for each (tenant, `_name`), with `_rank`, `_before` and `_n`.
+    """
+    keys = [*by, "_name"]
+    v = F.col("_v").cast("double")
+    ends = inside.groupBy(*keys).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
+    # Halves are subtracted, as the difference of two doubles may be too large for one.
+    share = (v / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+    part = F.when(F.col("_high") > F.col("_low"), F.least(F.lit(PARTS - 1), F.floor(share * PARTS))).otherwise(F.lit(0))
+    rows = _same(inside, ends, keys).withColumn("_p", part.cast("long")).drop("_low", "_high")
+    parts = rows.groupBy(*keys, "_p").agg(
+        F.sum("_c").alias("_pc"), F.first("_before").alias("_pb"), F.first("_rank").alias("_pr")
+    )
+    upto = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    placed = parts.withColumn("_pb", F.col("_pb") + F.sum("_pc").over(upto) - F.col("_pc"))
+    chosen = placed.where((F.col("_pr") > F.col("_pb")) & (F.col("_pr") <= F.col("_pb") + F.col("_pc")))
+    chosen = chosen.select(*keys, "_p", "_pb")
+    return _same(rows, chosen, [*keys, "_p"]).withColumn("_before", F.col("_pb")).drop("_p", "_pb")
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    on = same[0]
+    for condition in same[1:]:
+        on = on & condition
+    return left.join(named, on).drop(*[f"_r_{k}" for k in keys])
+
+
 def interpolated(
     df: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import coefficients, multiplicities, residues
 from ..functions.ordered import running, value_bucket
 from ..functions.quantiles import q_ceil, rank_pick
 from ..session import attach, materialise
@@ -49,32 +49,13 @@ def _deltas(panel: DataFrame, cohorts: DataFrame, comparison: str) -> DataFrame:
     return moved.unionByName(sizes)
 
 
-def _weights(hashes: np.ndarray, draws: int) -> np.ndarray:
-    """How often each unit appears in each resample; draw 0 is the sample itself.
-
-    Multiplicities follow Poisson(1), the limit of drawing n units with replacement, and
-    depend only on the unit's seeded hash and the draw, so every task agrees on them.
-    """
-    mixed = hashes.astype(np.uint64)[:, None] + (
-        np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    )
-    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    uniform = ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
-    # Counts whose chance is below the precision of the draw, 2^-53, are the last.
-    chances = [math.exp(-1.0)]
-    while chances[-1] >= 2.0**-53:
-        chances.append(chances[-1] / len(chances))
-    steps = np.cumsum(chances)
-    return np.hstack([np.ones((len(hashes), 1)), np.searchsorted(steps, uniform)])
-
-
 def bootstrap_sums(deltas: DataFrame, draws: int = BOOTSTRAP, seed: int = SEED) -> DataFrame:
     """Weighted sums of deltas per resample and cell.
 
     Each task adds up its own rows for all resamples as one matrix product, so what is
     shuffled has one row per (task, resample, cell), whatever the number of units.
     """
+    held = coefficients(seed, draws)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -84,7 +65,10 @@ def bootstrap_sums(deltas: DataFrame, draws: int = BOOTSTRAP, seed: int = SEED)
             weights = np.zeros((len(cells), draws + 1))
             for start in range(0, len(batch), 2000):
                 part = slice(start, start + 2000)
-                multiplicity = _weights(batch["h"].to_numpy()[part], draws)
+                # A unit has a row for each cohort and period; its multiplicities are worked out once.
+                pairs = batch[["h1", "h2"]].to_numpy()[part]
+                units, of = np.unique(pairs, axis=0, return_inverse=True)
+                multiplicity = multiplicities(units[:, 0], units[:, 1], held)[of]
                 chosen = np.zeros((len(cells), len(multiplicity)))
                 chosen[codes.to_numpy()[part], np.arange(len(multiplicity))] = 1.0
                 weights += chosen @ multiplicity
@@ -94,10 +78,9 @@ def bootstrap_sums(deltas: DataFrame, draws: int = BOOTSTRAP, seed: int = SEED)
             out["total"], out["weight"] = sums.ravel(), weights.ravel()
             yield out[["b", "g", "t", "role", "total", "weight"]]
 
-    hashed = deltas.withColumn("h", F.xxhash64(F.lit(seed), "unit"))
     schema = "b long, g long, t long, role string, total double, weight double"
     return (
-        hashed.select(F.col("g").cast("long"), F.col("t").cast("long"), "role", "delta", "h")
+        deltas.select(F.col("g").cast("long"), F.col("t").cast("long"), "role", "delta", *residues(seed, "unit"))
         .mapInPandas(partial, schema)
         .groupBy("b", "g", "t", "role")
         .agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))

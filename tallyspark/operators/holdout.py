@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
 from ..functions.ordered import row_numbers, value_bucket
 from ..functions.scalars import round_half_up
 from ..functions.stats import normal_quantile, two_sided_p
-from ..session import attach
-from .causal import benjamini_hochberg
+from ..session import attach, materialise
+from .causal import BOOTSTRAP, SEED, average_effect, benjamini_hochberg, did_summary, event_study, group_time_effects, pre_trend
 
 FRACTION = 0.15
 MIN_STRATUM = 4
@@ -55,7 +56,7 @@ def assign_holdout(
     Strata are team by spend bucket when every cell can hold four units, else spend
     buckets alone, else teams, else one stratum. Quotas follow largest remainders, so the
     holdout has exactly round(n * fraction) units. Who is held out in a stratum follows a
-    seeded hash order, which any executor can reproduce.
+    seeded digest order, which any executor, and SQL, can reproduce.
     """
     by = list(by)
     shape = units.groupBy(*by).agg(
@@ -84,13 +85,13 @@ def assign_holdout(
         F.col("dimensions").isin("team+spend", "spend"), bucket.cast("string")
     ).otherwise("0")
     rows = rows.withColumn("stratum", F.concat_ws("#", team_part, spend_part)).withColumn(
-        "_draw", F.xxhash64(F.lit(seed), "unit")
+        "_draw", draw(seed, "unit")
     )
     strata = rows.groupBy(*by, "stratum").agg(F.count(F.lit(1)).alias("members"))
     exact = F.col("members") * F.lit(fraction)
     strata = strata.withColumn("_floor", F.floor(exact)).withColumn("_rest", exact - F.floor(exact))
     open_ = strata.where(F.col("members") > F.col("_floor")).withColumn(
-        "_tie", F.xxhash64(F.lit(seed), "stratum")
+        "_tie", draw(seed, "stratum")
     )
     # Remainders lie in [0, 1): a thousand chunks keep the ordering spread out.
     queue = row_numbers(
@@ -111,7 +112,7 @@ def assign_holdout(
         ).alias("_quota"),
     )
     drawn = row_numbers(
-        rows, [*by, "stratum"], F.shiftright(F.col("_draw"), 56), [F.col("_draw"), F.col("unit")], "_turn"
+        rows, [*by, "stratum"], F.shiftright(F.col("_draw"), 52), [F.col("_draw"), F.col("unit")], "_turn"
     )
     return drawn.join(quotas, [*by, "stratum"]).select(
         *by,
@@ -430,3 +431,123 @@ def holdout_verdict(
     )
     p = p_from_interval(F.col("effect"), F.col("low"), F.col("high"))
     return rows.withColumn("p_value", p).withColumn("verdict", verdict)
+
+
+# Metrics that no record can supply, and the primary one.
+UNAVAILABLE = ("chat-abandonment", "developer-satisfaction")
+PRIMARY = "effort-per-durable-change"
+
+
+def intent_to_treat_panel(changes: DataFrame, period_days: int) -> DataFrame:
+    """Mean surviving share of the fully observed changes of each author and period.
+
+    Authors keep the arm they were drawn into, whatever they did later, so the panel knows no arms.
+    """
+    period = F.floor(F.col("ts") / (period_days * DAY_MS)).alias("period")
+    observed = changes.where("fully_observed").groupBy(F.col("author_id").alias("unit"), period)
+    return observed.agg(F.avg("surviving_fraction").alias("outcome"))
+
+
+@dataclass(frozen=True)
+class HoldoutAnalysis:
+    """The parts of an analysis in reading order: what can void the effect comes before it."""
+
+    registration: DataFrame
+    balance: DataFrame
+    power: DataFrame
+    primary: DataFrame
+    study: DataFrame
+    trend: DataFrame
+    summary: DataFrame
+    secondary: DataFrame
+    guardrails: DataFrame
+    unavailable: DataFrame
+    verdict: DataFrame
+
+    def report(self) -> DataFrame:
+        """All parts as rows (section, subject, figure, number, label)."""
+        subjects = {"study": "relative_period", "secondary": "metric", "guardrails": "metric", "unavailable": "metric"}
+        out = None
+        for section in self.__dataclass_fields__:
+            part = _figures(getattr(self, section), section, subjects.get(section))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+
+def _figures(df: DataFrame, section: str, subject: str | None) -> DataFrame:
+    kinds = {c: k for c, k in df.dtypes if c != subject}
+    cells = [
+        F.struct(
+            F.lit(c).alias("figure"),
+            (F.lit(None) if k in ("string", "boolean") else F.col(c)).cast("double").alias("number"),
+            (F.col(c) if k in ("string", "boolean") else F.lit(None)).cast("string").alias("label"),
+        )
+        for c, k in kinds.items()
+    ]
+    of = (F.col(subject) if subject else F.lit("")).cast("string").alias("subject")
+    return df.select(F.lit(section).alias("section"), of, F.explode(F.array(*cells)).alias("_c")).select("section", "subject", "_c.*")
+
+
+def analyse_holdout(
+    assignments: DataFrame,
+    changes: DataFrame,
+    observations: DataFrame,
+    deployed_ms: int | None,
+    period_days: int = 7,
+    registered: bool = True,
+    alpha: float = ALPHA,
+    power: float = POWER,
+    draws: int = BOOTSTRAP,
+    seed: int = SEED,
+) -> HoldoutAnalysis:
+    """From the drawn arms and the measured changes to the verdict.
+
+    `assignments` is what `assign_holdout` drew, `changes` what `measure_durability` found, `observations` the levels
+    of secondary and guardrail metrics. The treated arm is one cohort that starts in the period of `deployed_ms`, the
+    holdout is never treated; authors without an arm count as never treated and in neither arm. Nothing is estimated,
+    and the verdict says so, before deployment or where an arm has no observed change.
+    """
+    spark = assignments.sparkSession
+    # Small beside the changes (one row per author and period) and read by every part below.
+    panel = materialise(intent_to_treat_panel(changes, period_days))
+    started = None if deployed_ms is None else deployed_ms // (period_days * DAY_MS)
+    treated_at = F.when(F.col("arm") == "treated", F.lit(started)).cast("long").alias("treated_at")
+    cohorts = assignments.select("unit", treated_at)
+    seen = panel.select("unit").distinct().join(assignments.select("unit", "arm"), "unit")
+    arms = seen.agg(
+        F.count(F.when(F.col("arm") == "treated", 1)).alias("treated"), F.count(F.when(F.col("arm") == "holdout", 1)).alias("holdout")
+    )
+    spread = panel.agg(
+        F.coalesce(F.stddev_samp("outcome"), F.lit(0.0)).alias("sd"), F.coalesce(F.avg("outcome"), F.lit(0.0)).alias("baseline")
+    )
+    powered = assess_power(attach(spread, arms), alpha, power)
+    # What follows is a row per metric, period or resample, written once so that the parts do not plan it again.
+    observations = materialise(observations)
+    powered = materialise(powered)
+    effects = materialise(group_time_effects(panel, cohorts, draws=draws, seed=seed))
+    study = materialise(event_study(effects, alpha))
+    trend = materialise(pre_trend(study))
+    guardrails = materialise(evaluate_guardrails(observations))
+    met = attach(powered.select("treated", "holdout"), average_effect(effects, alpha))
+    both = (F.col("treated") > 0) & (F.col("holdout") > 0)
+    average = materialise(met.where(both & F.col("effect").isNotNull()).select("effect", "low", "high"))
+    verdict = materialise(holdout_verdict(average, trend, guardrails, registered))
+    p = F.col("p_value")
+    primary = verdict.select(
+        F.lit(PRIMARY).alias("metric"), "effect", "low", "high", p, p.alias("q_value"),
+        F.coalesce((F.col("low") > 0) | (F.col("high") < 0), F.lit(False)).alias("significant"),
+    )
+    status = "registered" if registered else "unregistered"
+    return HoldoutAnalysis(
+        registration=spark.range(1).select(F.lit(status).alias("status")),
+        balance=assess_balance(assignments),
+        power=powered,
+        primary=primary,
+        study=study,
+        trend=trend,
+        summary=did_summary(effects, cohorts, panel),
+        secondary=secondary_tests(observations),
+        guardrails=guardrails,
+        unavailable=spark.createDataFrame([(m, "no record") for m in UNAVAILABLE], "metric string, reason string"),
+        verdict=verdict.select("breaches", "verdict"),
+    )

@@ -6,9 +6,11 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import PRIME, poisson_steps
 from ..operators import causal as C
 from ..operators import holdout as HO
 from ..session import attach
+from .q_outcomes import History, upto
 from .registry import query, rounded
 
 DEPLOYED = 883_612_800_000  # 1998-01-01
@@ -59,14 +61,55 @@ def _(t):
     return C.did_summary(Did(t).effects, t.cohort, t.panel)
 
 
-@query("o06_bootstrap_intervals")
+def resampled(pu: str, seed: int = C.SEED, draws: int = C.BOOTSTRAP, least: int = C.MIN_UNITS) -> dict[str, str]:
+    """CTEs of a bootstrapped estimate over `pu` (unit, period, outcome, treated_at): study, average, dropped cells."""
+    p = PRIME
+    counts = " + ".join(f"CAST(u >= {x} AS INTEGER)" for x in poisson_steps())
+    parts = ", ".join(f"CAST('0x' || substr(s, {1 + 8 * i}, 8) AS BIGINT) % {p} AS c{i}" for i in range(6))
+    interval = "list_sort(list(effect) FILTER (b > 0))"
+    ends = ", ".join(
+        f"coalesce(v[CAST(least(len(v), greatest(1, ceil(len(v) * {q}::DOUBLE))) AS BIGINT)], effect) AS {name}"
+        for q, name in ((0.05 / 2, "low"), (1 - 0.05 / 2, "high"))
+    )
+    return dict(
+        pu=pu,
+        units="SELECT DISTINCT unit, treated_at FROM pu",
+        moves="""SELECT u.g, a.period AS t, a.unit, a.treated_at, a.outcome - b.outcome AS delta FROM (SELECT DISTINCT treated_at AS g FROM pu WHERE treated_at IS NOT NULL) u
+      JOIN pu a ON a.period <> u.g - 1 JOIN pu b ON b.unit = a.unit AND b.period = u.g - 1""",
+        spots=f"""SELECT unit, CAST('0x' || substr(s, 1, 15) AS BIGINT) % {p} AS h1, CAST('0x' || substr(s, 16, 15) AS BIGINT) % {p} AS h2
+      FROM (SELECT unit, sha256('{seed}:' || unit) AS s FROM units)""",
+        ways=f"SELECT b, {parts} FROM (SELECT b, sha256('{seed}/' || b) AS s FROM range(1, {draws + 1}) r(b))",
+        weights=f"""SELECT unit, b, {counts} AS w FROM (SELECT unit, b, (t * ((c3 * t + c4) % {p}) + c5) % {p} AS u
+      FROM (SELECT *, (h1 * c0 + h2 * c1 + c2) % {p} AS t FROM spots, ways)) UNION ALL SELECT unit, 0, 1 FROM units""",
+        sizes="SELECT b, treated_at AS c, sum(w) AS n FROM weights JOIN units USING (unit) GROUP BY ALL",
+        sums="""SELECT b, g, t, sum(w * delta) FILTER (treated_at = g) / nullif(sum(w) FILTER (treated_at = g), 0) AS own,
+      sum(w * delta) FILTER (treated_at IS NULL OR treated_at > greatest(t, g)) / nullif(sum(w) FILTER (treated_at IS NULL OR treated_at > greatest(t, g)), 0) AS other
+      FROM moves JOIN weights USING (unit) GROUP BY b, g, t""",
+        cells=f"""SELECT s.b, s.c AS g, p.t, s.n, (SELECT sum(o.n) FROM sizes o WHERE o.b = s.b AND (o.c IS NULL OR o.c > greatest(p.t, s.c))) AS controls
+      FROM sizes s, (SELECT DISTINCT period AS t FROM pu) p WHERE s.c IS NOT NULL AND p.t <> s.c - 1 AND s.n >= {least}""",
+        effects=f"SELECT b, g, t, t - g AS rel, n, CASE WHEN controls >= {least} THEN own - other END AS effect FROM cells LEFT JOIN sums USING (b, g, t)",
+        study=f"""SELECT rel AS relative_period, effect, units, {ends} FROM (SELECT rel, max(effect) FILTER (b = 0) AS effect, max(units) FILTER (b = 0) AS units, {interval} AS v
+      FROM (SELECT b, rel, sum(effect * n) / sum(n) AS effect, max(n) AS units FROM effects WHERE effect IS NOT NULL GROUP BY 1, 2) GROUP BY 1) WHERE effect IS NOT NULL""",
+        average=f"""SELECT effect, {ends} FROM (SELECT max(effect) FILTER (b = 0) AS effect, {interval} AS v
+      FROM (SELECT b, sum(effect * n) / sum(n) AS effect FROM effects WHERE effect IS NOT NULL AND rel >= 0 GROUP BY 1)) WHERE effect IS NOT NULL""",
+        trend="""SELECT count(*) AS periods_tested, count(*) FILTER (low > 0 OR high < 0) AS violations,
+      first(relative_period ORDER BY abs(effect) DESC, relative_period) AS worst_period, first(effect ORDER BY abs(effect) DESC, relative_period) AS worst_effect
+      FROM study WHERE relative_period < -1""",
+    )
+
+
+BOOT = resampled(DID["pu"])
+
+
+@query("o06_bootstrap_intervals", """SELECT relative_period, round(effect, 4) AS effect, round(low, 4) AS low, round(high, 4) AS high, CAST(units AS BIGINT) AS units FROM study""", **BOOT)
 def _(t):
-    return Did(t).study
+    return rounded(Did(t).study)
 
 
-@query("o07_pre_trend")
+@query("o07_pre_trend", """SELECT periods_tested > 0 AND violations = 0 AS passes, periods_tested = 0 AS untestable, periods_tested, violations,
+  worst_period, round(worst_effect, 4) AS worst_effect FROM trend""", **BOOT)
 def _(t):
-    return C.pre_trend(Did(t).study)
+    return rounded(C.pre_trend(Did(t).study))
 
 
 @query("o08_two_way_fixed_effects", """
@@ -111,7 +154,20 @@ def _(t):
     )
 
 
-@query("e01_assign_holdout")
+def drawn(seed: int) -> dict[str, str]:
+    """CTEs of the arms of the roster: quotas by largest remainders, members by the order of their digests."""
+    number = lambda of: f"CAST('0x' || substr(sha256('{seed}:' || {of}), 1, 15) AS BIGINT)"
+    return dict(
+        strata=STRATA,
+        share="SELECT stratum, floor(count(*) * 0.15::DOUBLE) AS whole, count(*) * 0.15::DOUBLE - floor(count(*) * 0.15::DOUBLE) AS rest FROM strata GROUP BY 1",
+        quota=f"""SELECT stratum, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, {number("stratum")}, stratum)
+      <= (SELECT floor(count(*) * 0.15::DOUBLE + 0.5) FROM strata) - (SELECT sum(whole) FROM share) THEN 1 ELSE 0 END AS quota FROM share""",
+        assigned=f"""SELECT unit, team, pre_spend, stratum, CASE WHEN turn <= quota THEN 'holdout' ELSE 'treated' END AS arm
+      FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {number("unit")}, unit) AS turn FROM strata) JOIN quota USING (stratum)""",
+    )
+
+
+@query("e01_assign_holdout", "SELECT unit, team, pre_spend, 'team+spend' AS dimensions, stratum, arm FROM assigned", **drawn(7))
 def _(t):
     return HO.assign_holdout(t.roster, 7)
 
@@ -214,10 +270,63 @@ def _(t):
     return rounded(HO.secondary_tests(observed(t)), 6)
 
 
-@query("e06_analyse_holdout")
+PERIOD_DAYS = 90
+STARTED = DEPLOYED // (PERIOD_DAYS * 86_400_000)
+
+
+def rows(section: str, source: str, subject: str = "''", **figures: str) -> str:
+    """Rows of a report: a figure's SQL is a number, or a label where its name ends with an underscore."""
+    cells = ", ".join(
+        f"{{'figure': '{name.rstrip('_')}', 'number': CAST({'NULL' if name.endswith('_') else value} AS DOUBLE), 'label': CAST({value if name.endswith('_') else 'NULL'} AS VARCHAR)}}"
+        for name, value in figures.items()
+    )
+    return f"SELECT '{section}' AS section, CAST({subject} AS VARCHAR) AS subject, cell.figure, round(cell.number, 6) AS number, cell.label FROM (SELECT *, unnest([{cells}]) AS cell FROM {source})"
+
+
+ITT = f"""SELECT author_id AS unit, CAST(floor(ts / ({PERIOD_DAYS} * 86400000.0)) AS BIGINT) AS period, avg(surviving_fraction) AS outcome
+      FROM verdict WHERE fully_observed GROUP BY 1, 2"""
+IN_ARMS = f"SELECT p.*, CASE WHEN a.arm = 'treated' THEN {STARTED} END AS treated_at FROM itt p LEFT JOIN assigned a USING (unit)"
+ANALYSIS = OBS | {"guard": GUARD, "tests": TESTS} | upto("verdict") | drawn(7) | {"itt": ITT} | resampled(IN_ARMS) | dict(
+    level="SELECT coalesce(stddev_samp(outcome), 0) AS sd, coalesce(avg(outcome), 0) AS baseline FROM itt",
+    seen="SELECT count(*) FILTER (arm = 'treated') AS treated, count(*) FILTER (arm = 'holdout') AS holdout FROM (SELECT DISTINCT unit FROM itt) JOIN assigned USING (unit)",
+    powered=f"SELECT *, {Z} * sd * sqrt(1 / treated + 1 / holdout) AS mde FROM level, seen",
+    found="SELECT *, (high - low) / 2 AS half FROM average",
+    tail="SELECT *, abs(effect) / (half / 1.959963984540054) AS z FROM found",
+    judged=f"SELECT *, least(1, 2 * {TAIL}) AS p FROM tail",
+    adjusted="""SELECT metric, least(1, min(p * m / i) OVER (ORDER BY p DESC, metric DESC)) AS q FROM (
+      SELECT metric, p, row_number() OVER (ORDER BY p, metric) AS i, count(*) OVER () AS m FROM tests WHERE p IS NOT NULL)""",
+    all_tests="SELECT t.*, q FROM tests t LEFT JOIN adjusted USING (metric)",
+    balance="""SELECT *, (mt - mh) / sqrt((vt + vh) / 2) AS smd FROM (SELECT count(*) FILTER (arm = 'treated') AS t, count(*) FILTER (arm = 'holdout') AS h, avg(pre_spend) FILTER (arm = 'treated') AS mt,
+      avg(pre_spend) FILTER (arm = 'holdout') AS mh, var_samp(pre_spend) FILTER (arm = 'treated') AS vt, var_samp(pre_spend) FILTER (arm = 'holdout') AS vh,
+      sum(pre_spend) AS s, sum(pre_spend) FILTER (arm = 'holdout') AS sh, max(pre_spend) AS top FROM assigned)""",
+    dropped="SELECT count(*) FILTER (b = 0 AND effect IS NULL) AS n FROM effects",
+    counted="SELECT count(*) FILTER (treated_at IS NOT NULL) AS t, count(*) FILTER (treated_at IS NULL) AS c, count(DISTINCT treated_at) AS g, (SELECT n FROM dropped) AS d FROM units",
+    said="""SELECT breaches, CASE WHEN breaches > 0 THEN 'guardrail-breach' WHEN (SELECT count(*) FROM judged) = 0 THEN 'no-estimate'
+      WHEN (SELECT periods_tested = 0 OR violations > 0 FROM trend) THEN 'descriptive-only' WHEN (SELECT low <= 0 AND high >= 0 FROM judged) THEN 'no-detectable-effect' ELSE 'effect-detected' END AS v
+      FROM (SELECT count(*) FILTER (status = 'breached') AS breaches FROM guard)""",
+)
+REPORT = " UNION ALL ".join([
+    rows("registration", "(SELECT 1)", status_="'registered'"),
+    rows("balance", "balance", treated_units="t", holdout_units="h", treated_mean="mt", holdout_mean="mh", smd="smd", balanced_="abs(smd) <= 0.1",
+         holdout_spend_share="sh / s", holdout_headcount_share="h / (h + t)", top_unit_share="top / s", concentrated_="top / s >= greatest(0.25, 5 / (h + t))"),
+    rows("power", "powered", sd="sd", baseline="baseline", treated="treated", holdout="holdout", mde="mde", mde_relative="mde / baseline"),
+    rows("primary", "(SELECT 1) LEFT JOIN judged ON true", metric_="'effort-per-durable-change'", effect="effect", low="low", high="high", p_value="p", q_value="p",
+         significant_="coalesce(low > 0 OR high < 0, false)"),
+    rows("study", "study", "relative_period", effect="effect", low="low", high="high", units="units"),
+    rows("trend", "trend", passes_="periods_tested > 0 AND violations = 0", untestable_="periods_tested = 0", periods_tested="periods_tested",
+         violations="violations", worst_period="worst_period", worst_effect="worst_effect"),
+    rows("summary", "counted", treated_units="t", control_units="c", cohorts="g", dropped_cells="d"),
+    rows("secondary", "all_tests", "metric", role_="role", effect="effect", p_value="p", q_value="q", significant_="coalesce(q <= 0.05, false)"),
+    rows("guardrails", "guard", "metric", baseline="baseline", current="current", observations="observations", adverse_movement="adverse", threshold="threshold", status_="status"),
+    rows("unavailable", "(VALUES ('chat-abandonment'), ('developer-satisfaction')) m(metric)", "metric", reason_="'no record'"),
+    rows("verdict", "said", breaches="breaches", verdict_="v"),
+])
+
+
+@query("e06_analyse_holdout", REPORT, **ANALYSIS)
 def _(t):
-    did = Did(t)
-    return HO.holdout_verdict(C.average_effect(did.effects), C.pre_trend(did.study), HO.evaluate_guardrails(observed(t)))
+    arms = HO.assign_holdout(t.roster, 7)
+    return rounded(HO.analyse_holdout(arms, History(t).durability, observed(t), DEPLOYED, PERIOD_DAYS).report(), 6)
 
 
 @query("e07_p_from_interval", f"""

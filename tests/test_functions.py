@@ -90,15 +90,20 @@ def test_lines_beyond_int_range_overlap_only_where_they_meet(spark):
     assert got == {s: min(i for i, (a, b) in enumerate(rows) if a <= t and s <= b) for s, t in rows}
 
 
-def test_poisson_counts_go_to_the_precision_of_the_draw(monkeypatch):
+def test_resampled_multiplicities_are_poisson():
     import numpy as np
 
-    from tallyspark.operators import causal
-
-    seen = []
-    monkeypatch.setattr(causal.np, "searchsorted", lambda steps, u: seen.append(steps) or np.zeros(u.shape))
-    causal._weights(np.arange(3), 2)
-    assert seen[0][-1] >= 1 - 2.0**-52 and len(seen[0]) > 15
+    from tallyspark.functions import draws
+
+    rng = np.random.default_rng(1)
+    h1, h2 = rng.integers(0, draws.PRIME, (2, 400))
+    counts = draws.multiplicities(h1, h2, draws.coefficients(5, 600))
+    assert (counts[:, 0] == 1).all()
+    drawn = counts[:, 1:]
+    assert abs(drawn.mean() - 1) < 0.02 and abs(drawn.var() - 1) < 0.03 and drawn.max() > 5
+    # Units are independent: sums over all of them spread as n independent counts do.
+    assert abs(drawn.sum(0).var() / 400 - 1) < 0.2
+    assert len(draws.poisson_steps()) > 10 and draws.poisson_steps()[-1] < draws.PRIME
 
 
 def test_path_spellings_agree(spark):
