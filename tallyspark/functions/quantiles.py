@@ -54,7 +54,8 @@ def rank_pick(
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_b", value_bucket(F.col("_v")))
     )
-    histogram = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_hc"))
+    v = F.col("_v").cast("double")
+    histogram = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_hc"), F.min(v).alias("_low"), F.max(v).alias("_high"))
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     placed = histogram.withColumn("_before", F.sum("_hc").over(upto) - F.col("_hc")).withColumn(
         "_n", F.sum("_hc").over(Window.partitionBy(*by))
@@ -74,9 +75,11 @@ def rank_pick(
         & (F.col("_want.rank") <= F.col("_before") + F.col("_hc"))
     )
     wanted = wanted.select(
-        *by, "_b", "_before", "_n", F.col("_want.name").alias("_name"), F.col("_want.rank").alias("_rank")
+        *by, "_b", "_before", "_n", "_low", "_high", F.col("_want.name").alias("_name"), F.col("_want.rank").alias("_rank")
     )
-    inside = _divided(_divided(wanted.join(counts, [*by, "_b"]), by), by)
+    for _ in range(2):
+        wanted = _narrower(counts, wanted, by)
+    inside = _inside(counts, wanted, by)
     within = (
         Window.partitionBy(*by, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -91,36 +94,30 @@ def rank_pick(
     return hits.groupBy(*by).agg(*picked) if by else hits.agg(*picked)
 
 
-def _divided(inside: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of the one part, of `PARTS` even ones, that holds each wanted rank; what lies below it goes to `_before`.
+def _inside(counts: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """The distinct values in the range of each wanted rank."""
+    return counts.join(wanted, [*by, "_b"]).where(F.col("_v").cast("double").between(F.col("_low"), F.col("_high")))
+
 
-    `inside`: distinct values `_v` with counts `_c` for each (tenant, `_name`), with `_rank`, `_before` and `_n`.
+def _narrower(counts: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """`wanted` with the one part, of `PARTS` even ones, that holds the rank; what lies below it goes to `_before`.
+
+    `wanted`: a row for each (tenant, `_name`) with its bucket `_b`, `_rank`, `_before`, `_n` and the least and greatest value
+    of its range, `_low` and `_high`. Parts grow with the value, so a part's least and greatest value say what is in it.
     """
-    keys = [*by, "_name"]
+    keys = [*by, "_b", "_name"]
     v = F.col("_v").cast("double")
-    ends = inside.groupBy(*keys).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
     # Halves are subtracted, as the difference of two doubles may be too large for one.
     share = (v / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
     part = F.when(F.col("_high") > F.col("_low"), F.least(F.lit(PARTS - 1), F.floor(share * PARTS))).otherwise(F.lit(0))
-    rows = _same(inside, ends, keys).withColumn("_p", part.cast("long")).drop("_low", "_high")
-    parts = rows.groupBy(*keys, "_p").agg(
-        F.sum("_c").alias("_pc"), F.first("_before").alias("_pb"), F.first("_rank").alias("_pr")
-    )
+    parts = _inside(counts, wanted, by).groupBy(*keys, part.cast("long").alias("_p")).agg(
+        F.sum("_c").alias("_pc"), F.min(v).alias("_low"), F.max(v).alias("_high"),
+        *[F.first(c).alias(c) for c in ("_before", "_rank", "_n")],
+    )
     upto = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    placed = parts.withColumn("_pb", F.col("_pb") + F.sum("_pc").over(upto) - F.col("_pc"))
-    chosen = placed.where((F.col("_pr") > F.col("_pb")) & (F.col("_pr") <= F.col("_pb") + F.col("_pc")))
-    chosen = chosen.select(*keys, "_p", "_pb")
-    return _same(rows, chosen, [*keys, "_p"]).withColumn("_before", F.col("_pb")).drop("_p", "_pb")
-
-
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on keys that may be null."""
-    named = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
-    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    on = same[0]
-    for condition in same[1:]:
-        on = on & condition
-    return left.join(named, on).drop(*[f"_r_{k}" for k in keys])
+    placed = parts.withColumn("_before", F.col("_before") + F.sum("_pc").over(upto) - F.col("_pc"))
+    held = placed.where((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_pc")))
+    return held.drop("_p", "_pc")
 
 
 def interpolated(

@@ -48,9 +48,8 @@ def test_large_integers_keep_their_digits(spark):
 def test_last_part_is_small(spark, parts, monkeypatch):
     """Of 20,000 distinct values in one logarithmic bucket, two divisions leave a few to be sorted."""
     monkeypatch.setattr(Q, "PARTS", parts)
-    held = spark.range(20_000).select((1000 + F.col("id") / 1e6).alias("_v"), F.lit(1).cast("long").alias("_c"))
-    held = held.select("*", F.lit("m").alias("_name"), F.lit(12_345).cast("long").alias("_rank"), F.lit(0).cast("long").alias("_before"))
-    left = Q._divided(Q._divided(held, []), [])
-    rows = left.collect()
+    counts = spark.range(20_000).select((1000 + F.col("id") / 1e6).alias("_v"), F.lit(1).cast("long").alias("_c"), F.lit(5).alias("_b"))
+    wanted = spark.createDataFrame([(5, "m", 12_345, 0, 20_000, 1000.0, 1000.019999)], "_b int, _name string, _rank long, _before long, _n long, _low double, _high double")
+    rows = Q._inside(counts, Q._narrower(counts, Q._narrower(counts, wanted, []), []), []).collect()
     assert len(rows) <= 20_000 / parts**2 + 2
     assert rows[0]["_before"] < 12_345 <= rows[0]["_before"] + len(rows)
