@@ -56,7 +56,7 @@ def tool_definition_tax(corpus: Corpus) -> DataFrame:
     )
     return finding(
         stats, by, "W1", "A",
-        F.concat(F.lit("Tool descriptions are "), percent(share), F.lit(" of every prompt")),
+        F.concat(F.lit("Tool schemas take up "), percent(share), F.lit(" of what is sent")),
         F.col("rare_tools") * each * per_token(),
         confidence(F.col("requests"), 30, share / 0.25),
         [item("tool", "ALL", F.col("requests"), F.col("defined")),
@@ -88,7 +88,7 @@ def duplicate_retrieval(corpus: Corpus) -> DataFrame:
     rate = F.col("duplicates") / F.col("reads")
     return finding(
         stats, by, "W2", "B",
-        F.concat(percent(rate), F.lit(" of file reads fetched content already in context")),
+        F.concat(F.lit("Repeated reads of text still held: "), percent(rate)),
         tokens_from_chars(F.col("chars")) * per_token(),
         confidence(F.col("reads"), 50, rate / 0.3),
         [item("file", "ALL", F.col("duplicates"), F.col("reads")),
@@ -132,8 +132,8 @@ def oversized_payloads(corpus: Corpus) -> DataFrame:
     )
     return finding(
         stats, by, "W3", "B",
-        F.concat(F.lit("A single "), F.col("largest.name"), F.lit(" result cost ~"),
-                 tokens_from_chars(F.col("largest.result_chars")).cast("string"), F.lit(" tokens")),
+        F.concat(F.lit("Largest tool output, from "), F.col("largest.name"), F.lit(", in tokens: "),
+                 tokens_from_chars(F.col("largest.result_chars")).cast("string")),
         tokens_from_chars(F.col("chars")) * per_token(),
         confidence(F.col("measured"), 200, F.col("offenders") / (F.col("measured") * 0.01)),
         item("tool", "ALL", F.col("offenders"), F.col("chars")),
@@ -195,8 +195,8 @@ def session_staleness(corpus: Corpus) -> DataFrame:
     )
     return finding(
         stats, by, "W4", "C",
-        F.concat(F.lit("Long-running chats carried "), F.round("excess").cast("long").cast("string"),
-                 F.lit(" tokens of accumulated history")),
+        F.concat(F.lit("Old turns sent again in long sessions, in tokens: "),
+                 F.round("excess").cast("long").cast("string")),
         F.col("excess") * per_token(),
         confidence(F.col("stale"), 40, F.col("offenders") / F.greatest(F.lit(1), F.col("sessions"))),
         item("session", "ALL", F.col("offenders"), F.col("excess")),
@@ -244,7 +244,7 @@ def model_over_selection(corpus: Corpus) -> DataFrame:
     )
     return finding(
         stats, by, "W5", "A",
-        F.concat(F.col("flagged").cast("string"), F.lit(" low-complexity request(s) ran on a premium model")),
+        F.concat(F.lit("Easy requests sent to an expensive model: "), F.col("flagged").cast("string")),
         F.col("saving"),
         confidence(F.col("flagged"), 30, spread / 10),
         item("model", F.col("cheapest_model"), None, F.col("cheapest_rate")),
@@ -288,7 +288,7 @@ def runaway_loops(corpus: Corpus) -> DataFrame:
     )
     return finding(
         stats, by, "W6", "B",
-        F.concat(F.col("offenders").cast("string"), F.lit(" deep agent loop(s) finished without producing an edit")),
+        F.concat(F.lit("Long tool runs that changed no file: "), F.col("offenders").cast("string")),
         F.col("price"),
         confidence(F.col("offenders"), 15, F.lit(0.7)),
         item("request", "ALL", F.col("offenders"), F.col("deepest")),
@@ -381,7 +381,7 @@ def abandoned_work(corpus: Corpus) -> DataFrame:
     )
     return finding(
         stats, by, "W7", "C",
-        F.concat(percent(rate), F.lit(" of edit-producing requests left nothing committed")),
+        F.concat(F.lit("Edits that never reached a commit: "), percent(rate)),
         F.col("price"),
         confidence(F.col("judged_requests"), 40, rate / 0.5),
         [item("request", "ALL", F.col("abandoned"), None, F.col("price")),
@@ -412,7 +412,7 @@ def cross_developer_duplication(corpus: Corpus) -> DataFrame:
     )
     return finding(
         stats, by, "W8", "A",
-        F.concat(percent(F.col("redundant_share")), F.lit(" of fleet spend answered a question already answered")),
+        F.concat(F.lit("Spent on questions asked before: "), percent(F.col("redundant_share"))),
         F.col("redundant"),
         confidence(F.col("questions_seen"), 500, F.col("redundant_share") / 0.1),
         [item("session", "ALL", F.col("shown"), F.col("occurrences"), F.col("redundant")),
@@ -440,8 +440,8 @@ def compaction_overhead(corpus: Corpus) -> DataFrame:
     )
     return finding(
         stats, by, "W9", "C",
-        F.concat(F.lit("Automatic summarisation cost "), F.round(hours, 1).cast("string"),
-                 F.lit(" hours of waiting")),
+        F.concat(F.lit("Hours that sessions stood still for compaction: "),
+                 F.round(hours, 1).cast("string")),
         F.col("tokens") * per_token(),
         confidence(F.col("events"), 10, F.lit(0.9)),
         [item("request", "ALL", F.col("events"), F.col("median_wait_ms")),
@@ -490,7 +490,7 @@ def instruction_bloat(corpus: Corpus) -> DataFrame:
     )
     return finding(
         stats, by, "W10", "C",
-        F.concat(F.lit("Standing instructions grew "), percent(growth), F.lit(" and are re-sent every request")),
+        F.concat(F.lit("Fixed part of each prompt is longer than before by "), percent(growth)),
         F.col("excess") * per_token(),
         confidence(F.col("n"), 200, growth),
         [item("request", "BASELINE", F.col("n") - F.col("later"), F.col("baseline")),
@@ -553,7 +553,7 @@ def reference_leakage(corpus: Corpus) -> DataFrame:
     )
     return finding(
         stats, by, "W11", "B",
-        F.concat(percent(rate), F.lit(" of files shown to the model were never opened")),
+        F.concat(F.lit("Attached files left unread: "), percent(rate)),
         F.col("tokens") * per_token(),
         confidence(F.col("judged"), 200, rate / 0.6),
         [item("file", "ALL", F.col("unopened"), F.col("judged")),
@@ -621,7 +621,7 @@ def utility_model_drift(corpus: Corpus) -> DataFrame:
     )
     return finding(
         stats, by, "W12", "A",
-        F.concat(percent(rate), F.lit(" of context summarisation ran on a premium model")),
+        F.concat(F.lit("Compactions done by an expensive model: "), percent(rate)),
         F.col("excess"),
         confidence(F.col("judged"), 20, rate / 0.5),
         [item("model", "ALL", F.col("drifted"), None, F.col("excess")),

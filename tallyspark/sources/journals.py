@@ -8,6 +8,7 @@ from the few envelopes that touch it. No task replays a whole file.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,6 +37,51 @@ def scan_journals(spark: SparkSession, roots: list[str]) -> DataFrame:
     return out.withColumn("workspace_id", F.regexp_extract("path", r"([^/]+)/chatSessions/[^/]+$", 1))
 
 
+def list_journals(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """The session files without their content, which is then not read: path, uri, mtime_ms, length, workspace_id."""
+    found = scan_journals(spark, roots)
+    # The key by which lines name their file; a frame without files has no such column.
+    uri = F.col("_metadata.file_path") if found.inputFiles() else F.col("path")
+    return found.select("path", uri.alias("uri"), F.unix_millis("modificationTime").alias("mtime_ms"), "length", "workspace_id")
+
+
+def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Non-empty lines of files with the byte offset they start at: uri, offset, line. CR is stripped before LF.
+
+    Files are cut into byte ranges by Spark's text source, which hands a line that crosses a cut to the range it
+    begins in. An offset is the sum of the bytes before the line: within its range, and over the ranges before it
+    (one row each), so that no task holds a file. Bytes that are not UTF-8 are replaced, a byte order mark is left out.
+    """
+    if not paths:
+        return spark.createDataFrame([], "uri string, offset long, line string")
+    exact = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
+    meta = [F.col(f"_metadata.{name}").alias(alias) for name, alias in (("file_path", "uri"), ("file_block_start", "_range"), ("file_size", "_size"))]
+    raw = spark.read.option("lineSep", "\n").text(exact).select("value", *meta, F.monotonically_increasing_id().alias("_at"))
+    taken = (F.octet_length("value") + 1).cast("long")
+    lines = running(raw, ["uri"], F.col("_range"), [F.col("_at")], {"_before": ("sum", taken)}, exclusive=True)
+    # The text source swallows a byte order mark; then the file is longer than its lines.
+    whole = raw.groupBy("uri").agg(F.sum(taken).alias("_sum"), F.max("_size").alias("_of"))
+    marked = whole.where(F.col("_of") - F.col("_sum") >= 2).select("uri", F.lit(3).alias("_mark"))
+    lines = lines.join(marked, "uri", "left")
+    mark = F.when(F.col("_before") > 0, F.coalesce("_mark", F.lit(0))).otherwise(0)
+    offset = F.col("_before") + mark
+    ended = offset + F.octet_length("value") < F.col("_size")
+    text = F.when(ended, F.regexp_replace("value", "\\r\\z", "")).otherwise(F.col("value"))
+    return lines.select("uri", offset.alias("offset"), F.make_valid_utf8(text).alias("line")).where("line <> ''")
+
+
+def fingerprints(lines: DataFrame) -> DataFrame:
+    """uri and a 128-bit hash of its lines and their places, added up in any order."""
+    parts = [F.lpad(F.hex(F.bit_xor(F.xxhash64(F.lit(i), "offset", "line"))), 16, "0") for i in range(2)]
+    return lines.groupBy("uri").agg(F.lower(F.concat(*parts)).alias("content_hash"))
+
+
+def changed_files(listed: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Listed files whose time or size differ from the manifest; no file is opened."""
+    known = manifest.select(F.col("file_path").alias("path"), "mtime_ms", F.col("size_bytes").alias("length"))
+    return listed.join(known, ["path", "mtime_ms", "length"], "left_anti")
+
+
 def incremental_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files whose time, size or content differ from the manifest of earlier runs."""
     hashed = files.withColumn("content_hash", F.sha2("content", 256)).withColumn(

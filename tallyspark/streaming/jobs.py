@@ -43,30 +43,68 @@ def collect_stream(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def ingest_journals(
-    spark: SparkSession, roots: list[str], store_root: str, salt: str, now_ms: int | None = None
+    spark: SparkSession, roots: list[str], store_root: str, salt: str, now_ms: int | None = None, verify: bool = False
 ) -> DataFrame:
-    """Read new or grown journal files under `roots` into the store; see `ingest_files`.
+    """Read new or grown journal files under `roots` into the store; returns the batch's summary row.
 
-    Spark's streaming file source never reads a path twice, and journals grow in place, so each run lists
-    the folder and compares it with the manifest instead.
+    Spark's streaming file source never reads a path twice, and journals grow in place, so each run lists the
+    folder and compares times and sizes with the manifest; only files that differ are opened, in byte ranges, up
+    to the length that was listed. With `verify`, the others are read too and their lines' hashes compared.
     """
-    return ingest_files(journals.scan_journals(spark, roots), store_root, salt, now_ms)
+    number, state = _begin(spark, store_root)
+    listed = materialise(journals.list_journals(spark, roots))
+    fresh = materialise(journals.changed_files(listed, state))
+    if verify:
+        same = listed.join(fresh.select("path"), "path", "left_anti")
+        known = state.select(F.col("file_path").alias("path"), F.col("content_hash").alias("known"))
+        now = same.join(journals.fingerprints(_lines_of(spark, same)), "uri", "left").join(known, "path")
+        differ = now.where(~F.col("content_hash").eqNullSafe(F.col("known"))).select(listed.columns)
+        fresh = materialise(fresh.unionByName(differ))
+    lines = materialise(_lines_of(spark, fresh))
+    hashed = fresh.join(journals.fingerprints(lines), "uri", "left")
+    named = lines.join(fresh.select("uri", "path"), "uri").select("path", "offset", "line")
+    return _ingest(listed, hashed, named, store_root, number, salt, now_ms)
+
+
+def _lines_of(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Lines of listed files, without what was appended since."""
+    # Names of files, which Spark's reader takes as a list on the driver and lists again there.
+    lines = journals.read_lines(spark, [r["path"] for r in files.select("path").collect()])
+    whole = F.col("offset") + F.octet_length("line") <= F.col("length")
+    return lines.join(files.select("uri", "length"), "uri").where(whole).drop("length")
 
 
 def ingest_files(files: DataFrame, store_root: str, salt: str, now_ms: int | None = None) -> DataFrame:
-    """Bring the files that differ from the manifest into the store, as one batch; returns its summary row.
+    """Bring files that differ from the manifest, or in their hash, into the store; returns the batch's summary row.
 
     `files` has path, modificationTime, length and content. Changed files are read whole, once, into the
-    shared folder: what the manifest records is what was parsed, even if a file grows meanwhile. Every request
-    of such a file replaces its older version. The manifest is written last and commits the batch: a run that
-    fails before that leaves nothing visible, and the next one overwrites its files. One writer at a time.
+    shared folder: what the manifest records is what was parsed, even if a file grows meanwhile.
     """
-    spark = files.sparkSession
-    known = committed(spark, store_root)
-    number = (known.agg(F.max("batch")).first()[0] + 1) if known is not None else 0
-    state = _newest_state(known) if known is not None else spark.createDataFrame([], MANIFEST)
+    number, state = _begin(files.sparkSession, store_root)
     fresh = materialise(journals.incremental_files(files, state))
-    envelopes = materialise(journals.parse_envelopes(journals.split_lines(fresh)))
+    return _ingest(files, fresh, journals.split_lines(fresh), store_root, number, salt, now_ms)
+
+
+def _begin(spark: SparkSession, store_root: str) -> tuple[int, DataFrame]:
+    """The next batch's number and the newest state of every file."""
+    done = commits(spark, store_root)
+    if done is None:
+        return 0, spark.createDataFrame([], MANIFEST)
+    last = done.agg(F.max("batch")).first()[0]
+    manifest = spark.read.schema(f"{MANIFEST}, batch long").parquet(f"{store_root}/manifest").where(F.col("batch") <= last)
+    return last + 1, _newest_state(manifest)
+
+
+def _ingest(
+    files: DataFrame, fresh: DataFrame, lines: DataFrame, store_root: str, number: int, salt: str, now_ms: int | None
+) -> DataFrame:
+    """Write one batch. Every request of a changed file replaces its older version.
+
+    The commit row is written last, also for a batch without files: a run that fails before that leaves nothing
+    visible, and the next one takes its number and overwrites its files. One writer at a time.
+    """
+    spark = files.sparkSession
+    envelopes = materialise(journals.parse_envelopes(lines))
     sessions = journals.session_ids(envelopes)
     rows = materialise(normalise.normalise_requests(journals.replay_journal(envelopes), sessions, salt))
     good = normalise.good(rows)
@@ -88,6 +126,7 @@ def ingest_files(files: DataFrame, store_root: str, salt: str, now_ms: int | Non
     _write(summary, store_root, "summary", number)
     now_ms = time.time_ns() // 1_000_000 if now_ms is None else now_ms
     _write(journals.ingested_state(fresh, now_ms), store_root, "manifest", number)
+    _write(spark.range(1).select(F.lit(now_ms).cast("long").alias("committed_at")), store_root, "commit", number)
     return spark.read.parquet(f"{store_root}/summary").where(F.col("batch") == number)
 
 
@@ -95,10 +134,10 @@ def _write(table: DataFrame, store_root: str, name: str, number: int) -> None:
     table.write.mode("overwrite").parquet(f"{store_root}/{name}/batch={number}")
 
 
-def committed(spark: SparkSession, store_root: str) -> DataFrame | None:
-    """Manifest rows of all committed batches; None before the first."""
+def commits(spark: SparkSession, store_root: str) -> DataFrame | None:
+    """One row per committed batch: batch, committed_at; None before the first."""
     try:
-        return spark.read.schema(f"{MANIFEST}, batch long").parquet(f"{store_root}/manifest")
+        return spark.read.schema("committed_at long, batch long").parquet(f"{store_root}/commit")
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -113,7 +152,7 @@ def _newest_state(manifest: DataFrame) -> DataFrame:
 
 def read_batches(spark: SparkSession, store_root: str, name: str) -> DataFrame:
     """Rows of a store table from committed batches, with their `batch`."""
-    last = committed(spark, store_root).agg(F.max("batch")).first()[0]
+    last = commits(spark, store_root).agg(F.max("batch")).first()[0]
     return spark.read.parquet(f"{store_root}/{name}").where(F.col("batch") <= last)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import materialise
+from ..session import checkpoint_dir, materialise
 from ..sources import files as FI
 from ..sources import git as G
 from ..sources import journals as J
@@ -28,14 +30,14 @@ def journal_lines(t):
         F.array(F.struct(F.lit("x").alias("toolCallRoundId"), F.lit("m").alias("model"), F.lit(2).alias("numRounds"), F.lit(900).alias("durationMs"), F.lit("success").alias("outcome"), (key * 3).alias("contextLengthBefore"))).alias("summaries"))
     file = F.struct(F.concat(F.lit("/Src/F"), key % 50, F.lit(".py")).alias("fsPath"))
     request = F.struct(key.cast("string").alias("requestId"), t_ms(F.col("o_orderdate")).alias("timestamp"), F.col("o_orderpriority").alias("modelId"), F.struct(meta.alias("metadata")).alias("result"),
-        F.array(F.struct(F.lit("p").alias("category"), F.lit("Files").alias("label"), F.lit(12.5).alias("percentageOfPrompt")), F.struct(F.lit("p").alias("category"), F.lit("New Label").alias("label"), F.lit(30).alias("percentageOfPrompt"))).alias("promptTokenDetails"),
+        F.array(F.struct(F.lit("p").alias("category"), F.lit("Files").alias("label"), F.lit(6.25).alias("percentageOfPrompt")), F.struct(F.lit("p").alias("category"), F.lit("New Label").alias("label"), F.lit(30).alias("percentageOfPrompt"))).alias("promptTokenDetails"),
         F.array(F.struct(F.lit("textEditGroup").alias("kind"), file.alias("uri"), F.array(F.array(F.struct(F.lit("a").alias("text")), F.struct(F.lit("b").alias("text")))).alias("edits"), (key % 2 == 0).alias("done"))).alias("response"),
         F.array(F.struct(file.alias("reference"))).alias("contentReferences"))
     env = lambda **kw: F.to_json(F.struct(*[v.alias(k) for k, v in kw.items()]))
     append = o.select(path.alias("path"), (key * 10 + 10).alias("offset"), env(kind=F.lit(2), k=F.array(F.lit("requests")), v=F.array(request)).alias("line"))
     files = o.select(path.alias("path"), "o_custkey").distinct()
     snapshot = files.select("path", F.lit(0).cast("long").alias("offset"), F.concat(F.lit('{"kind":0,"v":{"sessionId":"s'), "o_custkey", F.lit('","requests":[]}}')).alias("line"))
-    late = files.select("path", F.lit(1 << 40).alias("offset"), F.lit('{"kind":1,"k":["requests",0,"copilotCredits"],"v":12.5}').alias("line"))
+    late = files.select("path", F.lit(1 << 40).alias("offset"), F.lit('{"kind":1,"k":["requests",0,"copilotCredits"],"v":6.25}').alias("line"))
     broken = files.select("path", F.lit((1 << 40) + 1).alias("offset"), F.lit('{"kind":1,"k":["requests",0').alias("line"))
     odd = files.select("path", F.lit((1 << 40) + 2).alias("offset"), F.lit('{"kind":9}').alias("line"))
     return snapshot.unionByName(append).unionByName(late).unionByName(broken).unionByName(odd)
@@ -58,7 +60,7 @@ FILE = HASH.format("'src/f' || (o_orderkey % 50) || '.py'").replace("'src", "'/s
 
 
 @query("s04_replay_journal", """SELECT path, turn_index, CAST(o_orderkey AS VARCHAR) AS request_id, CASE WHEN turn_index = 0 THEN 1099511627776 ELSE o_orderkey * 10 + 10 END AS source_offset,
-  CASE WHEN turn_index = 0 THEN 12.5::DOUBLE END AS credits FROM p""", p=PLACED)
+  CASE WHEN turn_index = 0 THEN 6.25::DOUBLE END AS credits FROM p""", p=PLACED)
 def _(t):
     out = J.replay_journal(J.parse_envelopes(journal_lines(t)))
     return out.select("path", "turn_index", F.get_json_object("request_json", "$.requestId").alias("request_id"), "source_offset",
@@ -72,7 +74,7 @@ def _(t):
 
 
 @query("s05_normalise_requests", f"""SELECT CAST(o_orderkey AS VARCHAR) AS request_id, {HASH.format("'s' || o_custkey")} AS session_id, epoch_ms(o_orderdate) AS ts, o_orderpriority AS model,
-  o_orderkey * 10 AS prompt_tokens, o_orderkey % 500 AS output_tokens, CASE WHEN turn_index = 0 THEN 12.5::DOUBLE END AS credits, turn_index,
+  o_orderkey * 10 AS prompt_tokens, o_orderkey % 500 AS output_tokens, CASE WHEN turn_index = 0 THEN 6.25::DOUBLE END AS credits, turn_index,
   'ws' || (o_custkey % 20) || '/chatSessions/' || o_custkey || '.jsonl' AS source_file FROM k""", k=KEPT)
 def _(t):
     return N.good(normalised(t)).drop("doc", "drift", "source_offset")
@@ -84,7 +86,7 @@ def _(t):
 
 
 @query("s06_explode_cost_centres", """SELECT CAST(o_orderkey AS VARCHAR) AS request_id, 'p' AS category, l AS label, pct AS percentage_of_prompt, CAST(floor(pct / 100 * o_orderkey * 10 + 0.5) AS BIGINT) AS tokens
-FROM k, (VALUES ('Files', 12.5::DOUBLE), ('New Label', 30.0::DOUBLE)) v(l, pct)""", k=KEPT)
+FROM k, (VALUES ('Files', 6.25::DOUBLE), ('New Label', 30.0::DOUBLE)) v(l, pct)""", k=KEPT)
 def _(t):
     return N.explode_cost_centres(N.good(normalised(t)))
 
@@ -127,6 +129,24 @@ def _(t):
     return J.split_lines(as_files(t))
 
 
+@query("s03_read_lines", r"""SELECT ws, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY ws ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+  regexp_replace(line, '\r$', '') AS line FROM (SELECT o_orderkey, o_custkey % 7 AS ws, o_orderkey || 'é' || o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN chr(13) ELSE '' END AS line FROM orders)""")
+def _(t):
+    """Lines of real files, cut into ranges of 64 kB: one file of sorted orders for each of seven folders."""
+    ending = F.when(F.col("o_orderkey") % 3 == 0, "\r").otherwise("")
+    rows = t.raw("orders").select((F.col("o_custkey") % 7).alias("ws"), "o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit("é"), "o_orderpriority", ending).alias("value"))
+    root = f"{checkpoint_dir(t.spark)}/lines-{uuid4().hex}"
+    rows.repartition(7, "ws").sortWithinPartitions("ws", "o_orderkey").drop("o_orderkey").write.partitionBy("ws").text(root)
+    size = "spark.sql.files.maxPartitionBytes"
+    given = t.spark.conf.get(size)
+    t.spark.conf.set(size, "64k")
+    try:
+        lines = materialise(J.read_lines(t.spark, [f"{root}/ws={i}" for i in range(7)]))
+    finally:
+        t.spark.conf.set(size, given)
+    return lines.select(F.regexp_extract("uri", "ws=([0-9]+)/", 1).cast("long").alias("ws"), "offset", "line")
+
+
 @query("s02_incremental_files", """SELECT 'd' || doc_id AS path, sha256(text) AS content_hash FROM documents WHERE doc_id % 3 <> 0""")
 def _(t):
     files = as_files(t)

@@ -118,7 +118,7 @@ def journal_store(t):
 
 
 @query("r10_ingest_current", f"""SELECT CAST(o_orderkey AS VARCHAR) AS request_id, {HASH.format("'s' || o_custkey")} AS session_id, epoch_ms(o_orderdate) AS ts, o_orderkey * 10 AS prompt_tokens, turn_index,
-  CASE WHEN o_custkey % 2 = 0 AND turn_index = 0 THEN 12.5::DOUBLE END AS credits, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS version
+  CASE WHEN o_custkey % 2 = 0 AND turn_index = 0 THEN 6.25::DOUBLE END AS credits, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS version
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3 = 0, o_orderkey) - 1 AS turn_index FROM orders) WHERE o_orderkey % 9 <> 0 AND (o_orderkey % 3 <> 0 OR o_custkey % 2 = 0)""")
 def _(t):
     return read_current(t.spark, journal_store(t), "request").select("request_id", "session_id", "ts", "prompt_tokens", "turn_index", "credits", "version")
