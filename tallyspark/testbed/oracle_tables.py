@@ -55,8 +55,8 @@ CTES = {
     "content_reference": """
   SELECT DISTINCT request_id, 'f' || (l_suppkey % 50) AS file_hash FROM lines""",
     "tracked_commit_file": """
-  SELECT DISTINCT l.request_id AS sha, r.ts, l.file AS path_hash
-  FROM lines l JOIN request r USING (request_id) WHERE l_orderkey % 400 = 0""",
+  SELECT DISTINCT l.request_id AS sha, r.ts - l_partkey % 45 * 2592000000 AS ts, 'f' || (l_partkey % 45) AS path_hash
+  FROM lines l JOIN request r USING (request_id)""",
     "commit_log": """
   SELECT CAST(o_orderkey AS VARCHAR) AS sha, CAST(o_custkey AS VARCHAR) AS author_id,
     epoch_ms(o_orderdate) AS ts,

@@ -242,7 +242,7 @@ def _(t):
     "'ALL,UNTRACKED,SETTLING,' || " + top("request_id", "round(-price, 6), request_id", "lost", 10), "w7"),
     judged=JUDGED, judged_requests=JUDGED_REQUESTS,
     lost="SELECT request_id, price FROM judged_requests JOIN priced USING (request_id) WHERE NOT survived",
-    w7="SELECT count(*) AS lost_n, sum(price) AS price, (SELECT count(*) FROM judged_requests) AS n FROM lost")
+    w7="SELECT * FROM (SELECT count(*) AS lost_n, sum(price) AS price, (SELECT count(*) FROM judged_requests) AS n FROM lost) WHERE lost_n > 0")
 def _(t):
     return flat(D.abandoned_work(corpus_of(t)))
 

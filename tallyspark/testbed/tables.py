@@ -161,13 +161,13 @@ class Testbed:
 
     @cached_property
     def tracked_commit_file(self) -> DataFrame:
-        """A sparse commit history over the edited files, for abandoned work."""
-        o = self.raw("orders").where(F.col("o_orderkey") % 400 == 0)
-        return self._lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        """A commit of every order, dated back by a month for each number of its file; five files are never committed."""
+        number = F.col("l_partkey") % 45
+        return self._lines.join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.col("request_id").alias("sha"),
-            unix_ms("o_orderdate").alias("ts"),
+            (unix_ms("o_orderdate") - number * 2_592_000_000).alias("ts"),
             F.lit(False).alias("is_merge"),
-            F.col("file").alias("path_hash"),
+            F.concat(F.lit("f"), number).alias("path_hash"),
         ).distinct()
 
     @cached_property
