@@ -13,14 +13,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, learns, written
+from .common import learns, written
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -91,60 +93,105 @@ def gram_counts(chosen: DataFrame) -> DataFrame:
     return grams.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def fit(grams: pd.DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Log-likelihood differences, toxic less ordinary: of seen grams, and of contexts for unseen letters."""
-    counts = {g: (a, b) for g, a, b in grams.itertuples(index=False)}
-    left: Counter = Counter(g[1:] for g in counts if len(g) > 1)  # different letters on the left
-    total, kinds = Counter(), Counter()  # of the continuations, by context
-    for gram, n in left.items():
-        total[gram[:-1]] += n
-        kinds[gram[:-1]] += 1
-    letters = max(1, kinds[""] + 1)
-    shared: dict[str, float] = {}
-
-    def backoff(gram: str) -> float:
-        if gram not in shared:
-            context = gram[:-1]
-            lower = backoff(gram[1:]) if context else 1 / letters
-            if total[context]:
-                own = max(left[gram] - DISCOUNT, 0) / total[context]
-                lower = own + DISCOUNT * kinds[context] / total[context] * lower
-            shared[gram] = lower
-        return shared[gram]
-
-    top = [g for g in counts if len(g) == ORDER or (g[0] == START and len(g) > 1)]
-    mass, seen = {}, {}
-    for g in top:
-        m, s = mass.setdefault(g[:-1], [0, 0]), seen.setdefault(g[:-1], [0, 0])
-        for c in (0, 1):
-            m[c] += counts[g][c]
-            s[c] += counts[g][c] > 0
-    weight = {h: [DISCOUNT * seen[h][c] / mass[h][c] if mass[h][c] else 1.0 for c in (0, 1)] for h in mass}
-    ratios = {}
-    for g in top:
-        h, low = g[:-1], backoff(g[1:])
-        p = [max(counts[g][c] - DISCOUNT, 0) / max(mass[h][c], 1) + weight[h][c] * low for c in (0, 1)]
-        ratios[g] = float(np.log(p[1] / p[0]))
-    return ratios, {h: float(np.log(w[1] / w[0])) for h, w in weight.items()}
-
-
-def word_ratio(word: str, ratios: dict[str, float], contexts: dict[str, float]) -> float:
-    """The word's log-likelihood as toxic less that as ordinary."""
-    out = 0.0
-    for gram in _grams(word):
-        r = ratios.get(gram)
-        out += contexts.get(gram[:-1], 0.0) if r is None else r
-    return out
+def hashed(grams: DataFrame) -> DataFrame:
+    """Counted grams as numbers: hashes of the gram, of its context and of its tail, its length, whether it is of the highest order."""
+    size = F.length("gram")
+    return grams.select(
+        F.xxhash64("gram").alias("gram"),
+        F.xxhash64(F.expr("left(gram, length(gram) - 1)")).alias("context"),
+        F.xxhash64(F.expr("substring(gram, 2)")).alias("tail"),
+        size.cast("byte").alias("size"),
+        ((size == ORDER) | (F.col("gram").startswith(START) & (size > 1))).alias("top"),
+        "n0",
+        "n1",
+    )
 
 
-def features(texts: list[str | None], memo: Memo) -> np.ndarray:
+@dataclass(frozen=True)
+class Model:
+    """Log-likelihood differences, toxic less ordinary, of seen grams and of contexts for unseen letters; keys are sorted hashes."""
+
+    grams: np.ndarray
+    ratios: np.ndarray
+    contexts: np.ndarray
+    unseen: np.ndarray
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """Each word's log-likelihood as toxic less that as ordinary."""
+        tops = [_grams(w) for w in words]
+        n = np.fromiter(map(len, tops), np.int64, len(tops))
+        every = [g for word in tops for g in word]
+        seen, ratio = _find(self.grams, self.ratios, _hashes(every))
+        _, other = _find(self.contexts, self.unseen, _hashes([g[:-1] for g in every]))
+        word = np.repeat(np.arange(len(words)), n)
+        return np.bincount(word, np.where(seen, ratio, other), len(words))
+
+
+def _hashes(texts: list[str]) -> np.ndarray:
+    """The hashes that Spark's xxhash64 gives."""
+    return np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts)).view(np.int64)
+
+
+def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which wanted keys there are, and their values (0 for others)."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    there = keys[at] == wanted
+    return there, np.where(there, values[at], 0.0)
+
+
+def fit(grams: pd.DataFrame) -> Model:
+    """The model of `hashed` grams: some tens of bytes each, whatever their letters."""
+    grams = grams.sort_values("gram")
+    gram, context, tail = (grams[c].to_numpy(np.int64) for c in ("gram", "context", "tail"))
+    size, top = grams["size"].to_numpy(), grams["top"].to_numpy(bool)
+    shorter = np.searchsorted(gram, tail)  # every tail of a longer gram is a gram itself
+    left = np.bincount(shorter[size > 1], minlength=len(gram))  # different letters on the left
+    lower = np.flatnonzero(left)
+    known, own = np.unique(context[lower], return_inverse=True)
+    total, kinds = np.bincount(own, left[lower], len(known)), np.bincount(own, minlength=len(known))
+    rest = (DISCOUNT * kinds / total)[own]
+    share = np.maximum(left[lower] - DISCOUNT, 0) / total[own]
+    backoff = np.zeros(len(gram))
+    for k in range(1, ORDER):
+        at = size[lower] == k
+        rows = lower[at]
+        below = 1 / max(1, len(rows) + 1) if k == 1 else backoff[shorter[rows]]  # as many letters as single grams, and an unseen one
+        backoff[rows] = share[at] + rest[at] * below
+    held, own = np.unique(context[top], return_inverse=True)
+    low, p, weights = backoff[shorter[top]], [], []
+    for c in ("n0", "n1"):
+        n = grams[c].to_numpy(np.float64)[top]
+        mass, seen = np.bincount(own, n, len(held)), np.bincount(own, n > 0, len(held))
+        weights.append(np.where(mass > 0, DISCOUNT * seen / np.maximum(mass, 1), 1.0))
+        p.append(np.maximum(n - DISCOUNT, 0) / np.maximum(mass, 1)[own] + weights[-1][own] * low)
+    return Model(gram[top], np.log(p[1] / p[0]), held, np.log(weights[1] / weights[0]))
+
+
+class Ratios(dict):
+    """Ratios of words, kept between batches; starts afresh beyond `limit` words."""
+
+    def __init__(self, model: Model, limit: int = 300_000) -> None:
+        super().__init__()
+        self.model, self.limit = model, limit
+
+    def learn(self, words: set[str]) -> None:
+        if len(self) > self.limit:
+            self.clear()
+        new = list(words - self.keys())
+        self.update(zip(new, self.model.of_words(new).tolist(), strict=True))
+
+
+def features(texts: list[str | None], known: Ratios) -> np.ndarray:
     """Length-normalised difference; its part above EASY; share and number of strong words; length."""
     out = np.zeros((len(texts), 5))
     for i, text in enumerate(texts):
         found = expressions(text)
         n = len(found)
         if n:
-            r = np.fromiter(map(memo.__getitem__, found), np.float64, n)
+            known.learn(set(found))
+            r = np.fromiter(map(known.__getitem__, found), np.float64, n)
             strong = int((r > STRONG).sum())
             size = n + SHRINK
             out[i] = r.sum() / size, np.clip(r - EASY, 0, MOST).sum() / size, strong / size, np.log1p(strong), np.log1p(n)
@@ -186,18 +233,14 @@ def with_score(df: DataFrame, docs: DataFrame, labels: DataFrame, folds: int, na
     sizes = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n = sum(sizes.values())
     prior = sizes.get(1, 0) / n if n else 0.5
-    # Bounded by the sample: two classes of SAMPLE documents.
-    ratios, contexts = fit(gram_counts(chosen).toPandas()) if len(sizes) == 2 else ({}, {})
-    model = spark.sparkContext.broadcast((ratios, contexts))
-
-    def memory() -> Memo:
-        r, c = model.value
-        return Memo(lambda word: word_ratio(word, r, c))
+    # Bounded by the sample: the grams of two classes of SAMPLE documents, as numbers.
+    fitted = fit(hashed(gram_counts(chosen)).toPandas()) if len(sizes) == 2 else Model(*[np.empty(0)] * 4)
+    model = spark.sparkContext.broadcast((fitted.grams, fitted.ratios, fitted.contexts, fitted.unseen))
 
     def measure(batches):
-        memo = memory()
+        known = Ratios(Model(*model.value))
         for batch in batches:
-            x = features(batch.column("text").to_pylist(), memo)
+            x = features(batch.column("text").to_pylist(), known)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c) for c in x.T)], ["toxic", *"abcde"])
 
     curve = None
@@ -209,13 +252,13 @@ def with_score(df: DataFrame, docs: DataFrame, labels: DataFrame, folds: int, na
 
     @F.pandas_udf("double")
     def judge(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = memory()
+        known = Ratios(Model(*model.value))
         for texts in series:
             if curve is None:
                 yield pd.Series(np.full(len(texts), prior))
                 continue
             w, centre, scale = curve
-            x = (features(texts.tolist(), memo) - centre) / scale
+            x = (features(texts.tolist(), known) - centre) / scale
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))
 
     return df.withColumn(name, judge("text"))

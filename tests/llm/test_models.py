@@ -43,21 +43,48 @@ def test_toxicity_never_sees_labels_of_the_fold_or_other_columns(spark, odd):
     assert kept.columns == odd.columns
 
 
-def test_kneser_ney_ratios_by_hand():
-    import pandas as pd
-
+def plain_model(counts):
+    """Ratios by gram and by context from the definition, over dictionaries of strings."""
+    left = Counter(g[1:] for g in counts if len(g) > 1)
+    letters = sum(len(g) == 1 for g in left) + 1
+
+    def shared(gram):
+        if not gram:
+            return 1 / letters
+        after = [n for g, n in left.items() if g[:-1] == gram[:-1] and g]
+        return (max(left[gram] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(after) * shared(gram[1:])) / sum(after)
+
+    top = [g for g in counts if len(g) == toxicity.ORDER or (g[0] == toxicity.START and len(g) > 1)]
+    ratios, contexts = {}, {}
+    for gram in top:
+        p, weights = [], []
+        for c in (0, 1):
+            after = [counts[g][c] for g in top if g[:-1] == gram[:-1]]
+            mass = sum(after)
+            weights.append(toxicity.DISCOUNT * sum(n > 0 for n in after) / mass if mass else 1.0)
+            p.append(max(counts[gram][c] - toxicity.DISCOUNT, 0) / max(mass, 1) + weights[c] * shared(gram[1:]))
+        ratios[gram], contexts[gram[:-1]] = math.log(p[1] / p[0]), math.log(weights[1] / weights[0])
+    return ratios, contexts
+
+
+def test_kneser_ney_ratios_equal_a_plain_model(spark):
     counts = {}
-    for word, a, b in (("ab", 3, 0), ("ac", 1, 4)):
+    known = (("ab", 3, 0), ("ac", 1, 4), ("längere", 2, 1), ("langer", 0, 2), ("日本語", 1, 1), ("x", 5, 0))
+    for word, a, b in known:
         for top in toxicity._grams(word):
             for k in range(len(top)):
                 n = counts.setdefault(top[k:], [0, 0])
                 n[0] += a
                 n[1] += b
-    ratios, contexts = toxicity.fit(pd.DataFrame([(g, *n) for g, n in counts.items()], columns=["gram", "n0", "n1"]))
+    grams = spark.createDataFrame([(g, *n) for g, n in counts.items()], "gram string, n0 long, n1 long")
+    model = toxicity.fit(toxicity.hashed(grams).toPandas())
+    ratios, contexts = plain_model(counts)
     assert ratios[toxicity.START + "ab"] < 0 < ratios[toxicity.START + "ac"]
-    # After "<a" both classes are seen: their probabilities of what follows add up to one over all letters.
-    assert set(contexts) >= {toxicity.START, toxicity.START + "a"}
-    assert toxicity.word_ratio("zz", ratios, contexts) == pytest.approx(contexts[toxicity.START])
+    words = [*(w for w, *_ in known), "zz", "abc", "langere", "é", "längerelangerab"]
+    plain = [sum(ratios.get(g, contexts.get(g[:-1], 0.0)) for g in toxicity._grams(w)) for w in words]
+    assert model.of_words(words) == pytest.approx(plain)
+    assert plain[words.index("zz")] == pytest.approx(contexts[toxicity.START])
+    assert len(model.of_words([])) == 0
 
 
 def test_language_model_beats_unigrams_and_counts_exactly(spark, odd):
