@@ -20,42 +20,12 @@ def surviving_children(children: DataFrame, latest: DataFrame, version: str = "v
     return children.join(latest.select("request_id", version), ["request_id", version], "left_semi")
 
 
-def upsert(stored: dict[str, DataFrame], incoming: dict[str, DataFrame], version: int) -> dict[str, DataFrame]:
-    """Replace every incoming request and its children in the stored tables."""
-    replaced = incoming["request"].select("request_id").distinct()
-    out = {}
-    for name, rows in incoming.items():
-        fresh = rows.withColumn("version", F.lit(version).cast("long"))
-        kept = stored[name].join(replaced, "request_id", "left_anti") if name in stored else None
-        out[name] = fresh if kept is None else kept.unionByName(fresh, allowMissingColumns=True)
-    return out
-
-
 def sessions(requests: DataFrame) -> DataFrame:
     return requests.groupBy("session_id").agg(
         F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at")
     )
 
 
-def write_table(df: DataFrame, root: str, name: str) -> None:
-    """Requests are partitioned by day, so date ranges prune files."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    if name == "request":
-        df = df.withColumn("day", F.to_date(F.timestamp_millis("ts")))
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day")
-    writer.parquet(f"{root.rstrip('/')}/{name}")
-
-
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    columns = schemas.TABLES[name].fieldNames()
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}").select(*columns)
-
-
-def point_lookup(requests: DataFrame, request_id: str) -> DataFrame:
-    """A request back to its file and byte offset; the filter reaches the Parquet scan."""
-    return requests.where(F.col("request_id") == request_id)
-
-
 def version_of(batch: int):
     """Version column of an ingest batch."""
     return F.lit(batch).cast("long")

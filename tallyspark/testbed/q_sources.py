@@ -13,6 +13,7 @@ from ..sources import git as G
 from ..sources import journals as J
 from ..sources import normalise as N
 from ..sources import store as ST
+from ..sources import tables as TS
 from .registry import query, rounded
 
 SALT = "pepper"
@@ -182,16 +183,49 @@ def _(t):
 @query("s12_table_scans", """SELECT 'request' AS name, count(*) AS n FROM request UNION ALL SELECT 'tool_call', count(*) FROM tool_call UNION ALL SELECT 'round', count(*) FROM round
 UNION ALL SELECT 'edit', count(*) FROM edit UNION ALL SELECT 'compaction', count(*) FROM compaction UNION ALL SELECT 'content_reference', count(*) FROM content_reference UNION ALL SELECT 'cost_centre', count(*) FROM cost_centre""")
 def _(t):
+    names = ("request", "tool_call", "round", "edit", "compaction", "content_reference", "cost_centre")
+    root = stored(t, *names)
     out = None
-    for name in ("request", "tool_call", "round", "edit", "compaction", "content_reference", "cost_centre"):
-        one = getattr(t, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    for name in names:
+        one = TS.scan(t.spark, root, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def stored(t, *names):
+    """A store of the named tables in the shared folder; their requests are few a day, so a folder holds 60 days."""
+    root = f"{checkpoint_dir(t.spark)}/store-{uuid4().hex}"
+    TS.create({name: getattr(t, name) for name in names}, root, span_days=60)
+    return root
+
+
+@query("s12_day_range", "SELECT request_id, session_id, ts, source_offset FROM request WHERE ts >= 799999999999 AND ts < 830000000000")
+def _(t):
+    return TS.scan(t.spark, stored(t, "request"), "request", 799_999_999_999, 830_000_000_000).select("request_id", "session_id", "ts", "source_offset")
+
+
+@query("s11_stored_replace", """SELECT request_id, CASE WHEN model = '1-URGENT' THEN ts + 86400000 ELSE ts END AS ts, CASE WHEN model = '1-URGENT' THEN prompt_tokens * 2 ELSE prompt_tokens END AS prompt_tokens, coalesce(calls, 0) AS calls
+FROM request LEFT JOIN (SELECT request_id, count(*) AS calls FROM tool_call JOIN request USING (request_id) WHERE model <> '1-URGENT' OR name = 'read_file' GROUP BY 1) USING (request_id)""")
+def _(t):
+    """Urgent requests come again a day later, twice as long, and with their file reads alone; the rest stays."""
+    root = stored(t, "request", "tool_call")
+    again = t.request.where("model = '1-URGENT'").withColumn("ts", F.col("ts") + 86_400_000).withColumn("prompt_tokens", F.col("prompt_tokens") * 2)
+    calls = t.tool_call.where("name = 'read_file'").join(again, "request_id", "left_semi")
+    TS.replace({"request": again, "tool_call": calls}, root)
+    counted = TS.scan(t.spark, root, "tool_call").groupBy("request_id").agg(F.count(F.lit(1)).alias("calls"))
+    return TS.scan(t.spark, root, "request").join(counted, "request_id", "left").select("request_id", "ts", "prompt_tokens", F.coalesce("calls", F.lit(0)).alias("calls"))
+
+
 @query("s13_point_lookup", "SELECT request_id, source_file, source_offset FROM request WHERE request_id = '4242'")
 def _(t):
-    return ST.point_lookup(t.request, "4242").select("request_id", "source_file", "source_offset")
+    return TS.locate(t.spark, stored(t, "request"), "4242").select("request_id", "source_file", "source_offset")
+
+
+@query("s13_fetch_calls", "SELECT * REPLACE (target_start_line::BIGINT AS target_start_line, target_end_line::BIGINT AS target_end_line) FROM tool_call WHERE request_id = (SELECT max(request_id) FROM tool_call)")
+def _(t):
+    root = stored(t, "request", "tool_call")
+    wanted = t.tool_call.agg(F.max("request_id")).first()[0]
+    return TS.fetch(t.spark, root, "tool_call", wanted)
 
 
 def log_records(t):
@@ -292,10 +326,9 @@ def _(t):
     return t.raw("orders").select("o_orderkey", rel.alias("relative"), S.is_path_redacted(rel).alias("redacted"))
 
 
-@query("f04_measure_result_chars", "SELECT doc_id, length(lang) + 2 * length(source) + length(text) AS chars FROM (SELECT doc_id, lang, source, regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS text FROM documents)")
+@query("f04_measure_result_chars", r"""SELECT doc_id, coalesce(length(lang), 0) + 2 * coalesce(length(source), 0) + coalesce(length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')), 0) AS chars FROM documents""")
 def _(t):
-    plain = F.regexp_replace("text", "[^a-zA-Z ]", "")
-    tree = F.to_json(F.struct(F.lit("x").alias("type"), F.col("lang").alias("a"), F.array(F.struct(F.col("source").alias("b")), F.struct(F.col("source").alias("b"))).alias("c"), F.col("doc_id").alias("n"), plain.alias("t")))
+    tree = F.to_json(F.struct(F.lit("x").alias("type"), F.col("lang").alias("a"), F.array(F.struct(F.col("source").alias("b")), F.struct(F.col("source").alias("b"))).alias("c"), F.col("doc_id").alias("n"), F.col("text").alias("t")))
     return t.raw("documents").select("doc_id", N.measure_result_chars(tree).alias("chars"))
 
 
