@@ -141,11 +141,10 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.
     return there, np.where(there, values[at], 0.0)
 
 
-def fit(grams: pd.DataFrame) -> Model:
+def fit(table: pa.Table) -> Model:
     """The model of `hashed` grams: some tens of bytes each, whatever their letters."""
-    grams = grams.sort_values("gram")
-    gram, context, tail = (grams[c].to_numpy(np.int64) for c in ("gram", "context", "tail"))
-    size, top = grams["size"].to_numpy(), grams["top"].to_numpy(bool)
+    order = np.argsort(table.column("gram").to_numpy())
+    gram, context, tail, size, top = (table.column(c).to_numpy()[order] for c in ("gram", "context", "tail", "size", "top"))
     shorter = np.searchsorted(gram, tail)  # every tail of a longer gram is a gram itself
     left = np.bincount(shorter[size > 1], minlength=len(gram))  # different letters on the left
     lower = np.flatnonzero(left)
@@ -162,13 +161,30 @@ def fit(grams: pd.DataFrame) -> Model:
     held, own = np.unique(context[top], return_inverse=True)
     low, p, weights = backoff[shorter[top]], [], []
     for c in ("n0", "n1"):
-        n = grams[c].to_numpy(np.float64)[top]
+        n = table.column(c).to_numpy()[order[top]].astype(np.float64)
         mass, seen = np.bincount(own, n, len(held)), np.bincount(own, n > 0, len(held))
         weights.append(np.where(mass > 0, DISCOUNT * seen / np.maximum(mass, 1), 1.0))
         p.append(np.maximum(n - DISCOUNT, 0) / np.maximum(mass, 1)[own] + weights[-1][own] * low)
     return Model(gram[top], np.log(p[1] / p[0]), held, np.log(weights[1] / weights[0]))
 
 
+def learn(grams: DataFrame) -> Model:
+    """Fit in one task: the sample bounds the grams, and the driver gets no more than two numbers for each entry of the model."""
+
+    def run(batches):
+        held = list(batches)
+        if held:
+            m = fit(pa.Table.from_batches(held))
+            for unseen, keys, values in ((False, m.grams, m.ratios), (True, m.contexts, m.unseen)):
+                for at in range(0, len(keys), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), unseen)), pa.array(keys[part]), pa.array(values[part])], ["unseen", "key", "value"])
+
+    rows = hashed(grams).repartition(1).mapInArrow(run, "unseen boolean, key long, value double").toPandas()
+    parts = (rows[rows["unseen"] == u].sort_values("key") for u in (False, True))
+    return Model(*(part[c].to_numpy() for part in parts for c in ("key", "value")))
+
+
 class Ratios(dict):
     """Ratios of words, kept between batches; starts afresh beyond `limit` words."""
 
@@ -233,8 +249,7 @@ def with_score(df: DataFrame, docs: DataFrame, labels: DataFrame, folds: int, na
     sizes = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n = sum(sizes.values())
     prior = sizes.get(1, 0) / n if n else 0.5
-    # Bounded by the sample: the grams of two classes of SAMPLE documents, as numbers.
-    fitted = fit(hashed(gram_counts(chosen)).toPandas()) if len(sizes) == 2 else Model(*[np.empty(0)] * 4)
+    fitted = learn(gram_counts(chosen)) if len(sizes) == 2 else Model(*[np.empty(0)] * 4)
     model = spark.sparkContext.broadcast((fitted.grams, fitted.ratios, fitted.contexts, fitted.unseen))
 
     def measure(batches):

@@ -77,7 +77,7 @@ def test_kneser_ney_ratios_equal_a_plain_model(spark):
                 n[0] += a
                 n[1] += b
     grams = spark.createDataFrame([(g, *n) for g, n in counts.items()], "gram string, n0 long, n1 long")
-    model = toxicity.fit(toxicity.hashed(grams).toPandas())
+    model = toxicity.learn(grams)
     ratios, contexts = plain_model(counts)
     assert ratios[toxicity.START + "ab"] < 0 < ratios[toxicity.START + "ac"]
     words = [*(w for w, *_ in known), "zz", "abc", "langere", "é", "längerelangerab"]
@@ -85,6 +85,8 @@ def test_kneser_ney_ratios_equal_a_plain_model(spark):
     assert model.of_words(words) == pytest.approx(plain)
     assert plain[words.index("zz")] == pytest.approx(contexts[toxicity.START])
     assert len(model.of_words([])) == 0
+    nothing = toxicity.learn(grams.where("false"))
+    assert nothing.of_words(["ab"]).tolist() == [0.0]
 
 
 def test_language_model_beats_unigrams_and_counts_exactly(spark, odd):
