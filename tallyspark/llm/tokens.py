@@ -3,7 +3,8 @@
 A text is cut only where the tokenizer's own pre-tokenizer always cuts: at single spaces and line
 breaks between other characters, and between a run of letters and the comma or stop that ends it.
 The library encodes each distinct piece once; ids of a text are put together from those. A text with
-any other arrangement of white space is encoded whole, so the ids always equal those of the whole text.
+any other arrangement of white space, or with a special token's string, is encoded whole, so the ids always
+equal those that the tokenizer as loaded gives for the whole text.
 """
 
 from __future__ import annotations
@@ -11,38 +12,48 @@ from __future__ import annotations
 import json
 import os
 import sys
-from itertools import chain
+from itertools import chain, repeat
 from types import ModuleType
 
 import numpy as np
-
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A line break by itself; no piece of a text begins with two spaces.
 LINE = "  \n"
-LINE_TOKEN = "Ċ"  # a line break in the byte alphabet of the vocabulary
+SPACE = "Ġ"  # a space in the byte alphabet of the vocabulary
+#: Places of a piece that is not known yet, and of one that has to be encoded with its whole text.
+NEW, HARD = -2, -1
 
 
 class Encoder:
     def __init__(self, path: str, limit: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # cores are shared out by Spark
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path) as f:
             file = json.load(f)
         spec, json_model = file["pre_tokenizer"] or {}, file["model"]
         kinds = [p["type"] for p in spec.get("pretokenizers", [spec]) if p]
         drops = kinds[:1] == ["Split"] and spec["pretokenizers"][0]["behavior"] == "Removed"
+        added = self.tokenizer.get_added_tokens_decoder().values()
         self.spaced = kinds == ["ByteLevel"] and spec.get("use_regex", True) and not spec.get("add_prefix_space")
-        self.pieced = self.spaced or drops
+        self.pieced = (self.spaced or drops) and not any(t.normalized for t in added)
+        self.specials = [t.content for t in added]
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.limit = limit
-        # The ids after which a word is over: those that carry the word's end, or the line break put between words.
+        # Words of ASCII letters by themselves: they need no pattern to be cut, and of the normalisation only the case.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None if self.spaced else normalizers.Lowercase()
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=self.spaced, use_regex=False)]
+        )
+        # The ids that begin a word (with its space), or those that carry a word's end.
         mark = json_model.get("end_of_word_suffix") or ""
-        self.ends = np.zeros(self.vocabulary, bool)
+        self.marks = np.zeros(self.vocabulary, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.ends[i] = token == LINE_TOKEN if self.spaced else bool(mark) and token.endswith(mark)
+            self.marks[i] = token.startswith(SPACE) if self.spaced else bool(mark) and token.endswith(mark)
         self._reset()
 
     def _reset(self) -> None:
@@ -64,19 +75,14 @@ class Encoder:
         return self.flat[at], n
 
     def _encode_words(self, keys: list[str]) -> None:
-        """Store words of letters only. They are encoded as one text, whose ids show where each word ends."""
-        if self.spaced:
-            text = "\n".join([" " + k for k in keys]) + "\n"
-        else:
-            text = " ".join(keys)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        last = np.flatnonzero(self.ends[ids])
-        if len(last) != len(keys):
+        """Store words of ASCII letters. They are encoded as one text, whose ids show where each word is."""
+        found = self.plain.encode_batch_fast([" ".join(keys)], add_special_tokens=False)[0].ids
+        ids = np.array(found, np.uint32)
+        at = np.flatnonzero(self.marks[ids])
+        if len(at) != len(keys):
             self._encode_each(keys)
-        elif self.spaced:  # the line break that ends a word is not its own
-            self._store(keys, ids[~self.ends[ids]], np.diff(last, prepend=-1) - 1)
         else:
-            self._store(keys, ids, np.diff(last, prepend=-1))
+            self._store(keys, ids, np.diff(at, append=len(ids)) if self.spaced else np.diff(at, prepend=-1))
 
     def _encode_each(self, keys: list[str]) -> None:
         plain = [(k.lstrip(" ") if k[:1] == " " else " " + k) if self.spaced else k for k in keys]
@@ -111,27 +117,27 @@ class Encoder:
                 out.append(start + line)
         return out
 
-    def _learn(self, keys: set[str]) -> None:
+    def _learn(self, keys: list[str]) -> None:
+        """Store pieces that are not known yet."""
         simple, single, joined = [], [], []
-        stops = {c: " " + c if self.spaced else c for c in ",."}
-        for key in keys - self.slots.keys():
+        space = " " if self.spaced else ""
+        for key in keys:
             if key.isalpha():
-                simple.append(key)
-                continue
-            if key[-1:] in stops and key[:-1].isalpha() and key.lower()[:-1].isalpha():
-                joined.append((key, (key[:-1], stops[key[-1]])))
-                continue
-            cut = self._cut(key)
-            if cut is None:
-                self.slots[key] = -1
-            elif cut == [key]:
-                single.append(key)
+                (simple if key.isascii() else single).append(key)
+            elif key[-1:] in (",", ".") and key[:-1].isalpha() and key.lower()[:-1].isalpha():
+                joined.append((key, (key[:-1], space + key[-1])))
             else:
-                joined.append((key, cut))
-        known = self.slots.keys()
-        parts = {p for _, cut in joined for p in cut} - known - set(simple) - set(single)
-        simple += [p for p in parts if p.isalpha()]
-        single += [p for p in parts if not p.isalpha()]
+                cut = self._cut(key)
+                if cut is None:
+                    self.slots[key] = HARD
+                elif cut == [key]:
+                    single.append(key)
+                else:
+                    joined.append((key, cut))
+        parts = {p for _, cut in joined for p in cut}.difference(simple, single)
+        for p in parts:
+            if p not in self.slots:
+                (simple if p.isalpha() and p.isascii() else single).append(p)
         if simple:
             self._encode_words(simple)
         if single:
@@ -144,6 +150,16 @@ class Encoder:
             ends = sizes.cumsum()
             self._store([key for key, _ in joined], flat, total[ends] - total[ends - sizes])
 
+    def _slots_of(self, keys: list[str]) -> np.ndarray:
+        """The places of distinct pieces, learnt where they are new."""
+        slots = np.fromiter(map(self.slots.get, keys, repeat(NEW)), np.int64, len(keys))
+        new = np.flatnonzero(slots == NEW)
+        if len(new):
+            fresh = [keys[i] for i in new.tolist()]
+            self._learn(fresh)
+            slots[new] = np.fromiter(map(self.slots.__getitem__, fresh), np.int64, len(fresh))
+        return slots
+
     def encode(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text (null: empty), with `end` appended where it is given."""
         tail = np.array([] if end is None else [end], np.uint32)
@@ -152,21 +168,29 @@ class Encoder:
             return [np.concatenate([np.array(e.ids, np.uint32), tail]) for e in found]
         if len(self.slots) > self.limit:
             self._reset()
-        pieces = []
-        for text in texts:
-            split = text.split(" ") if text else []
-            if split and self.spaced:
-                split[0] = " " + split[0]
-            pieces.append(split)
-        self._learn(set().union(*pieces))
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        slots = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(pieces)), np.int64, int(sizes.sum()))
+        held = pa.array([t or "" for t in texts], pa.large_string())
+        special = np.zeros(len(texts), bool)
+        for content in self.specials:
+            special |= pc.match_substring(held, content).to_numpy(zero_copy_only=False)
+        # Empty texts and those with special tokens have no pieces.
+        whole = special | (pc.binary_length(held).to_numpy(zero_copy_only=False) == 0)
+        held = held.filter(pa.array(~whole))
+        split = pc.split_pattern(held, " ")
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[~whole] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        ends = sizes.cumsum()
+        words = split.flatten().dictionary_encode()
+        slots = self._slots_of(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
+        if self.spaced and len(held):  # the first piece of a text follows no space
+            first = pc.list_element(split, 0).dictionary_encode()
+            own = self._slots_of([" " + key for key in first.dictionary.to_pylist()])
+            slots[(ends - sizes)[~whole]] = own[first.indices.to_numpy(zero_copy_only=False)]
         hard = slots < 0
         flat, n = self._gathered(np.where(hard, 0, slots)) if len(self.starts) else (np.empty(0, np.uint32), np.zeros(len(slots), np.int64))
-        total, ends = np.concatenate([[0], n.cumsum()]), sizes.cumsum()
-        doubtful = np.add.reduceat(np.append(hard, False), np.minimum(ends - sizes, len(hard))) * (sizes > 0) if hard.any() else np.zeros(len(sizes))
+        total, doubts = np.concatenate([[0], n.cumsum()]), np.concatenate([[0], hard.cumsum()])
+        doubtful = special | (doubts[ends] > doubts[ends - sizes])
         out = []
-        for text, begin, end_, odd in zip(texts, total[ends - sizes], total[ends], doubtful, strict=True):
+        for text, begin, end_, odd in zip(texts, total[ends - sizes].tolist(), total[ends].tolist(), doubtful.tolist(), strict=True):
             if odd:
                 ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             else:
@@ -187,7 +211,7 @@ def worker_encoder(path: str) -> Encoder:
     return held["encoder"]
 
 
-def chunks(texts: list[str | None], most: int = 1 << 21):
+def chunks(texts: list[str | None], most: int = 1 << 23):
     """Texts of a batch, about `most` characters at a time."""
     at = 0
     while at < len(texts):
