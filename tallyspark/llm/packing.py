@@ -41,20 +41,33 @@ def fill(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
         for i in order[next_of[k] : next_of[k] + left[k]]:
             out[i], sequence = sequence, sequence + 1
         left[k] = 0
-    while left.any():
+    remaining, alive, kept = int(left.sum()), np.empty(0, np.int64), 0
+    while remaining:
         rest = limits.copy()
-        # The next sequence looks only at kinds that are left; those gone are dropped from the arrays.
-        alive = np.flatnonzero(left)
-        size, gain = kinds[alive], scaled[alive] * weight
+        # Kinds that are gone are dropped from the arrays once they are half of them.
+        if 2 * kept <= len(alive):
+            alive = np.flatnonzero(left)
+            kept = len(alive)
+            first, *others = np.ascontiguousarray(kinds[alive].T)
+            have, gain = np.ones(kept, bool), np.ascontiguousarray((scaled[alive] * weight).T)
         while True:
-            fits = (size <= rest).all(1) & (left[alive] > 0)
-            if not fits.any():
+            # Kinds are in order of the first dimension, so those that fit it come first.
+            m = int(first.searchsorted(rest[0], "right"))
+            if not m:
                 break
-            score = np.where(fits, gain @ (rest / limits), -1.0)
-            k = alive[int(score.argmax())]
+            fits = have[:m]
+            for size, room in zip(others, rest[1:].tolist(), strict=True):
+                fits = fits & (size[:m] <= room)
+            best = int(np.where(fits, (rest / limits) @ gain[:, :m], -1.0).argmax())
+            if not fits[best]:
+                break
+            k = alive[best]
             out[order[next_of[k]]] = sequence
             next_of[k] += 1
             left[k] -= 1
+            remaining -= 1
+            if not left[k]:
+                have[best], kept = False, kept - 1
             rest = rest - kinds[k]
         sequence += 1
     return out
