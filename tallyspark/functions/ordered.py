@@ -63,7 +63,8 @@ def running(
         .orderBy(*[o.desc() if reverse else o.asc() for o in order])
         .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     )
-    out = rows.join(carries, [*by, "_chunk"])
+    # Carries grow with the data, whatever a plan guesses; the windows below need this order of both sides anyway.
+    out = rows.join(carries.hint("merge"), [*by, "_chunk"])
     for name, (kind, _) in measures.items():
         local, carry = _MERGE[kind](f"_in_{name}").over(within), F.col(f"_carry_{name}")
         if kind == "sum":

@@ -86,7 +86,9 @@ def normalise_requests(replayed: DataFrame, sessions: DataFrame, salt: str) -> D
     A request without result metadata is incomplete, not drifted, and is left out. A file
     without a session id yields one file-level drift row. Children stay nested in `doc`.
     """
-    rows = replayed.join(sessions, "path").withColumn("doc", F.from_json("request_json", REQUEST_JSON))
+    # Exploding a one-element array keeps Spark from reading the document again per column and filter.
+    doc = F.explode(F.array(F.from_json("request_json", REQUEST_JSON))).alias("doc")
+    rows = replayed.join(sessions.hint("merge"), "path").select("path", "turn_index", "source_offset", "raw_session_id", doc)
     meta = F.col("doc.result.metadata")
     model = _text(F.coalesce(meta["resolvedModel"], F.col("doc.modelId")))
     missing = (
@@ -116,7 +118,7 @@ def normalise_requests(replayed: DataFrame, sessions: DataFrame, salt: str) -> D
 def file_drift(sessions: DataFrame, files: DataFrame) -> DataFrame:
     """Files that hold no recognisable session document."""
     found = sessions.where(F.col("raw_session_id").isNotNull())
-    return files.select("path").distinct().join(found, "path", "left_anti").withColumn(
+    return files.select("path").distinct().join(found.hint("merge"), "path", "left_anti").withColumn(
         "drift", F.lit(FILE_DRIFT)
     )
 
