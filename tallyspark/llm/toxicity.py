@@ -18,11 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learns, written
+from .common import learns, mix, written
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -94,22 +93,24 @@ def gram_counts(chosen: DataFrame) -> DataFrame:
 
 
 def hashed(grams: DataFrame) -> DataFrame:
-    """Counted grams as numbers: hashes of the gram, of its context and of its tail, its length, whether it is of the highest order."""
-    size = F.length("gram")
-    return grams.select(
-        F.xxhash64("gram").alias("gram"),
-        F.xxhash64(F.expr("left(gram, length(gram) - 1)")).alias("context"),
-        F.xxhash64(F.expr("substring(gram, 2)")).alias("tail"),
-        size.cast("byte").alias("size"),
-        ((size == ORDER) | (F.col("gram").startswith(START) & (size > 1))).alias("top"),
-        "n0",
-        "n1",
-    )
+    """Counted grams as numbers: keys of the gram, of its context and of its tail, its length, whether it is of the highest order."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("gram").to_pylist()
+            keys = [pa.array(gram_keys(part)) for part in (texts, [t[:-1] for t in texts], [t[1:] for t in texts])]
+            size = np.fromiter(map(len, texts), np.int8, len(texts))
+            top = (size == ORDER) | (np.fromiter((t.startswith(START) for t in texts), bool, len(texts)) & (size > 1))
+            yield pa.RecordBatch.from_arrays(
+                [*keys, pa.array(size), pa.array(top), batch.column("n0"), batch.column("n1")], ["gram", "context", "tail", "size", "top", "n0", "n1"]
+            )
+
+    return grams.select("gram", "n0", "n1").mapInArrow(run, "gram long, context long, tail long, size byte, top boolean, n0 long, n1 long")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood differences, toxic less ordinary, of seen grams and of contexts for unseen letters; keys are sorted hashes."""
+    """Log-likelihood differences, toxic less ordinary, of seen grams and of contexts for unseen letters; keys (`gram_keys`) are sorted."""
 
     grams: np.ndarray
     ratios: np.ndarray
@@ -118,27 +119,63 @@ class Model:
 
     def of_words(self, words: list[str]) -> np.ndarray:
         """Each word's log-likelihood as toxic less that as ordinary."""
-        tops = [_grams(w) for w in words]
-        n = np.fromiter(map(len, tops), np.int64, len(tops))
-        every = [g for word in tops for g in word]
-        seen, ratio = _find(self.grams, self.ratios, _hashes(every))
-        _, other = _find(self.contexts, self.unseen, _hashes([g[:-1] for g in every]))
-        word = np.repeat(np.arange(len(words)), n)
-        return np.bincount(word, np.where(seen, ratio, other), len(words))
+        out = [np.zeros(0)]
+        for at in range(0, len(words), WORDS):
+            n, grams, contexts = _word_keys(words[at : at + WORDS])
+            seen, value = _find(self.grams, self.ratios, grams)
+            rest = np.flatnonzero(~seen)
+            value[rest] = _find(self.contexts, self.unseen, contexts[rest])[1]
+            out.append(np.bincount(np.repeat(np.arange(len(n)), n), value, len(n)))
+        return np.concatenate(out)
+
+
+#: Words whose letters are looked up at once.
+WORDS = 20_000
+#: A gram's key is the sum of its letters' scrambled code points times falling powers of this, modulo 2^64.
+BASE = 0xD1342543DE82EF95
+POWERS = [np.uint64(pow(BASE, d, 1 << 64)) for d in range(ORDER)]
+
+
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of joined texts: each one's length, and every letter's scrambled code point and place in its text."""
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    return n, mix(code.astype(np.uint64) + np.uint64(1)), np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _before(code: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The key of the letters before each letter, at most ORDER - 1 of them."""
+    out = np.zeros(len(code), np.uint64)
+    for d in range(1, ORDER):
+        out[d:] += np.where(place[d:] >= d, code[:-d] * POWERS[d - 1], np.uint64(0))
+    return out
+
+
+def _word_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word the number of its `_grams`, and one after another their keys and those of their contexts."""
+    n, code, place = _letters([START + w + END for w in words])
+    context = _before(code, place)
+    ends = place > 0
+    return n - 1, (code + context * POWERS[1])[ends].view(np.int64), context[ends].view(np.int64)
 
 
-def _hashes(texts: list[str]) -> np.ndarray:
-    """The hashes that Spark's xxhash64 gives."""
-    return np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts)).view(np.int64)
+def gram_keys(grams: list[str]) -> np.ndarray:
+    """Keys of grams of at most ORDER letters, the empty one included."""
+    n, code, place = _letters(grams)
+    out = np.zeros(len(grams), np.uint64)
+    full = n > 0
+    out[full] = (code + _before(code, place) * POWERS[1])[np.cumsum(n)[full] - 1]
+    return out.view(np.int64)
 
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which wanted keys there are, and their values (0 for others)."""
     if not len(keys):
         return np.zeros(len(wanted), bool), np.zeros(len(wanted))
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    there = keys[at] == wanted
-    return there, np.where(there, values[at], 0.0)
+    distinct, place = np.unique(wanted, return_inverse=True)  # sorted, so that neighbours are found near each other
+    at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+    there = keys[at] == distinct
+    return there[place], np.where(there, values[at], 0.0)[place]
 
 
 def fit(table: pa.Table) -> Model:
@@ -180,9 +217,14 @@ def learn(grams: DataFrame) -> Model:
                     part = slice(at, at + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), unseen)), pa.array(keys[part]), pa.array(values[part])], ["unseen", "key", "value"])
 
-    rows = hashed(grams).repartition(1).mapInArrow(run, "unseen boolean, key long, value double").toPandas()
-    parts = (rows[rows["unseen"] == u].sort_values("key") for u in (False, True))
-    return Model(*(part[c].to_numpy() for part in parts for c in ("key", "value")))
+    rows = hashed(grams).repartition(1).mapInArrow(run, "unseen boolean, key long, value double").toArrow()
+    unseen, key, value = (rows.column(c).to_numpy() for c in ("unseen", "key", "value"))
+    parts = []
+    for which in (~unseen, unseen):
+        k, v = key[which], value[which]
+        order = np.argsort(k)
+        parts += [k[order], v[order]]
+    return Model(*parts)
 
 
 class Ratios(dict):
@@ -202,11 +244,11 @@ class Ratios(dict):
 def features(texts: list[str | None], known: Ratios) -> np.ndarray:
     """Length-normalised difference; its part above EASY; share and number of strong words; length."""
     out = np.zeros((len(texts), 5))
-    for i, text in enumerate(texts):
-        found = expressions(text)
+    every = [expressions(text) for text in texts]
+    known.learn(set().union(*every))  # all at once: a look-up costs little for many words, and much for few
+    for i, found in enumerate(every):
         n = len(found)
         if n:
-            known.learn(set(found))
             r = np.fromiter(map(known.__getitem__, found), np.float64, n)
             strong = int((r > STRONG).sum())
             size = n + SHRINK

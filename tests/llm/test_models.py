@@ -227,3 +227,19 @@ def test_pairs_across_cells_are_found(spark, monkeypatch):
     rows = [(i, v.tolist(), 1) for i, v in enumerate(np.repeat(rng.standard_normal((30, 6)), 10, 0) + rng.standard_normal((300, 6)) * 0.2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df).collect()) == brute_vectors(rows)
+
+
+def test_words_of_a_batch_are_looked_up_at_once(monkeypatch):
+    """A look-up for each document made scoring ten times as slow; keys of words are those of their grams."""
+    words = ["ab", "längere", "日本語", "x", "langelange"]
+    n, grams, contexts = toxicity._word_keys(words)
+    tops = [g for w in words for g in toxicity._grams(w)]
+    assert n.tolist() == [len(w) + 1 for w in words]
+    assert grams.tolist() == toxicity.gram_keys(tops).tolist() and contexts.tolist() == toxicity.gram_keys([g[:-1] for g in tops]).tolist()
+    assert len(set(toxicity.gram_keys([*set(tops), ""]).tolist())) == len(set(tops)) + 1
+    asked, plain = [], toxicity.Model.of_words
+    monkeypatch.setattr(toxicity.Model, "of_words", lambda model, w: asked.append(len(w)) or plain(model, w))
+    key = toxicity.gram_keys([toxicity.START + "a"])
+    one = toxicity.Model(key, np.array([4.0]), np.empty(0, np.int64), np.empty(0))
+    got = toxicity.features(["a b", None, "", "b c a a"], toxicity.Ratios(one))
+    assert asked == [3] and got[:, 3].tolist() == pytest.approx([math.log(2), 0, 0, math.log(3)])
