@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import attach, checkpoint_dir, materialise
+from ..session import attach, checkpoint_dir, materialise, written
 from ..sources import journals, normalise, store
 
 MANIFEST = "file_path string, mtime_ms long, size_bytes long, content_hash string, last_ingested_at long"
@@ -104,7 +104,7 @@ def _ingest(
     visible, and the next one takes its number and overwrites its files. One writer at a time.
     """
     spark = files.sparkSession
-    envelopes = materialise(journals.parse_envelopes(lines))
+    envelopes = written(journals.parse_envelopes(lines))
     sessions = journals.session_ids(envelopes)
     rows = materialise(normalise.normalise_requests(journals.replay_journal(envelopes), sessions, salt))
     good = normalise.good(rows)

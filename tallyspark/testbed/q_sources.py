@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import checkpoint_dir, materialise
+from ..session import checkpoint_dir, materialise, written
 from ..sources import files as FI
 from ..sources import git as G
 from ..sources import journals as J
@@ -49,7 +49,7 @@ def t_ms(column):
 
 
 def normalised(t):
-    env = materialise(J.parse_envelopes(journal_lines(t).repartition(t.spark.sparkContext.defaultParallelism, "path", "offset")))
+    env = written(J.parse_envelopes(journal_lines(t).repartition(t.spark.sparkContext.defaultParallelism, "path", "offset")))
     return N.normalise_requests(J.replay_journal(env), J.session_ids(env), SALT)
 
 
@@ -63,7 +63,7 @@ FILE = HASH.format("'src/f' || (o_orderkey % 50) || '.py'").replace("'src", "'/s
 @query("s04_replay_journal", """SELECT path, turn_index, CAST(o_orderkey AS VARCHAR) AS request_id, CASE WHEN turn_index = 0 THEN 1099511627776 ELSE o_orderkey * 10 + 10 END AS source_offset,
   CASE WHEN turn_index = 0 THEN 6.25::DOUBLE END AS credits FROM p""", p=PLACED)
 def _(t):
-    out = J.replay_journal(J.parse_envelopes(journal_lines(t)))
+    out = J.replay_journal(written(J.parse_envelopes(journal_lines(t))))
     return out.select("path", "turn_index", F.get_json_object("request_json", "$.requestId").alias("request_id"), "source_offset",
                       F.get_json_object("request_json", "$.copilotCredits").cast("double").alias("credits"))
 

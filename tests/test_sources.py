@@ -199,3 +199,15 @@ def test_appended_requests_are_their_own_documents(spark, tmp_path):
     assert set(docs) == {0, 1, 2, 3} and rows.count() == 0
     # No join rests on a guessed size.
     assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+
+
+def test_appends_are_read_in_one_pass(spark, tmp_path):
+    """A plain append gives its items without being parsed again; one that Spark would copy otherwise takes the careful way."""
+    line = '{"kind":2,"k":["requests"],"v":[%s]}'
+    plain, spaced, shortened, broken = line % '{"requestId":"é","a":[1,{"b":null}]},{"c":2.5}', line % '{"requestId": "s"}', line % '{"f":1.50}', (line % '{"x":1}')[:-3]
+    df = spark.createDataFrame([("p", i, text) for i, text in enumerate([plain, spaced, shortened, broken, line % "null", line % ""])], "path string, offset long, line string")
+    got = J.parse_envelopes(df).orderBy("offset").collect()
+    assert got[0]["items"] == ['{"requestId":"é","a":[1,{"b":null}]}', '{"c":2.5}'] and got[0]["v"] is None
+    assert [r["n_items"] for r in got] == [2, 1, 1, None, 1, 0] and [r["problem"] for r in got] == [None, None, None, "malformed", None, None]
+    assert [(r["kind"], r["field"], r["depth"]) for r in got if r["kind"] is not None] == [(2, "requests", 1)] * 5
+    assert [json.loads(r["items"][0]) for r in got[1:3]] == [{"requestId": "s"}, {"f": 1.5}] and got[4]["items"] == [None]
