@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix, written
@@ -352,7 +352,10 @@ def _counted(large: DataFrame, length: int) -> DataFrame:
     blocks = twice(large.mapInArrow(_name_windows(length, step), schema)).groupBy("g", "u").agg(F.collect_set("low").alias("blocks"))
     windows = large.join(blocks, ["g", "u"]).select("g", "u", "o", "w", "context", "blocks")
     found = twice(written(windows.mapInArrow(_name_windows(length, step), schema)))
-    return found.select("g", "u", "low", F.col("low").alias("high"))
+    # A context has at most length - GRAM + 1 windows, each once in `found`; those that follow one another are one range.
+    order = F.row_number().over(Window.partitionBy("g", "u").orderBy("low"))
+    runs = found.select("g", "u", "low", (F.col("low") - order).alias("run")).groupBy("g", "u", "run")
+    return runs.agg(F.min("low").alias("low"), F.max("low").alias("high")).drop("run")
 
 
 def _fetch(length: int):

@@ -96,3 +96,14 @@ def test_collisions_are_found(monkeypatch):
     end = np.cumsum([len(t) for t in texts])
     held = repeats.Suffixes(data, end - np.array([len(t) for t in texts]), end, np.zeros(4, int), 8)
     assert [texts[i] for i in held.order] == sorted(texts) and held.hasher is repeats._hasher(4)
+
+def test_windows_of_large_buckets_come_as_ranges(spark):
+    """Neighbouring repeated windows of a context are one row, also where their bucket is too large to gather."""
+    rng = random.Random(5)
+    shared = "".join(rng.choices("abcdefgh", k=60))
+    # Different contexts around one passage: what stands before and after it differs in each.
+    rows = [(i, "".join(rng.choices("ijklmnop", k=30)) + shared + "".join(rng.choices("qrstuvwx", k=30))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(docs, 24, gram=6, bucket=2) == brute(rows, 24)
+    contexts = spark.createDataFrame([(1, i, 18, 19, text[30:72].encode()) for i, (_, text) in enumerate(rows)], "g long, u long, o int, w int, context binary")
+    assert sorted(map(tuple, repeats._counted(contexts, 24).select("g", "u", "low", "high").collect())) == [(1, i, 0, 18) for i in range(40)]
