@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import running
 from ..functions.quantiles import med_mid
 from ..functions.scalars import sample_confidence
-from ..session import attach, materialise
+from ..session import attach, written
 from .survival import kaplan_meier, survival_at
 
 DAY_MS = 86_400_000
@@ -110,13 +110,15 @@ def attribute_deletions(
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys]) + ", " + _EVENTS
     matches = None
     for group in groups:
-        sorted_chunks = (
-            events.withColumn("_chunk", group)
-            .repartition(*keys, "_chunk")
-            .sortWithinPartitions(*keys, "_chunk", "ts", "sha", "phase")
-        )
+        # Only a group in which an addition comes before a deletion can have a match; the others, nearly all, pass as they are.
+        together = Window.partitionBy(*keys, "_chunk")
+        at = F.struct("ts", "sha")
+        busy = F.min(F.when(F.col("phase") == 1, at)).over(together) < F.max(F.when(F.col("phase") == 0, at)).over(together)
+        grouped = events.withColumn("_chunk", group).repartition(*keys, "_chunk").withColumn("_busy", F.coalesce(busy, F.lit(False)))
+        sorted_chunks = grouped.where("_busy").drop("_busy").sortWithinPartitions(*keys, "_chunk", "ts", "sha", "phase")
+        quiet = grouped.where("NOT _busy").select(events.columns)
         # Kept in shared storage: the matches and the next pass both read it.
-        result = materialise(sorted_chunks.mapInPandas(_newest_first(keys), schema))
+        result = written(sorted_chunks.mapInPandas(_newest_first(keys), schema).unionByName(quiet))
         found = result.where(F.col("phase") == 2)
         matches = found if matches is None else matches.unionByName(found)
         events = result.where(F.col("phase") < 2)

@@ -86,6 +86,23 @@ def test_deletions_eat_the_newest_lines(spark):
     assert {tuple(r)[:3]: r["n"] for r in got.collect()} == brute_force_durability(files, 30 * DAY)
 
 
+def test_groups_without_a_match_stay_out_of_python(spark, monkeypatch):
+    """Deletions of a commit come before its additions, so single commits and earlier deletions have nothing to match."""
+
+    def refuse(keys):
+        def match(batches):
+            for batch in batches:
+                assert batch.empty
+                yield batch
+
+        return match
+
+    monkeypatch.setattr(O, "_newest_first", refuse)
+    files = [("p", "c1", 0, 5, 3), ("q", "c1", 0, 0, 4), ("q", "c2", DAY, 6, 0), ("r", "c3", 2 * DAY, 7, 7)]
+    df = spark.createDataFrame(files, "path_hash string, sha string, ts long, added long, deleted long")
+    assert O.attribute_deletions(df).count() == 0
+
+
 def test_curve_reaches_zero_without_error(spark):
     rows = [(1.0, True, 1.0), (2.0, False, 1.0), (3.0, True, 2.0), (-1.0, True, 5.0), (4.0, True, 0.0)]
     curve = SV.kaplan_meier(spark.createDataFrame(rows, "duration double, event boolean, weight double"))
