@@ -14,8 +14,9 @@ search. Neighbours' extensions are then checked byte by byte, which proves the o
 the sort begin again with another hash. Windows at offset o before their anchors are equal exactly if their
 contexts share `length - o` bytes forward and o bytes backward: both are intervals of the two orders.
 
-A bucket of more than `BUCKET` different contexts is not gathered: names of what blocks of windows have in common are
-counted, then 128-bit names of the windows in blocks met twice, with partial sums before the shuffle.
+A bucket of more than `BUCKET` different contexts is not gathered: 128-bit names of what blocks of windows cover, and of what
+all windows of a block have in common, are counted with partial sums before the shuffle. Single windows are named and
+counted only in blocks that differ but have that in common.
 """
 
 from __future__ import annotations
@@ -299,63 +300,96 @@ def _compare_buckets(length: int):
     return search
 
 
-def _name_windows(length: int, step: int):
-    """Windows of large buckets by blocks of `step` offsets: g, u, low, x, y, where (x, y) is a 128-bit name.
+def _hashed(data: np.ndarray, start: np.ndarray, size: np.ndarray, mark: np.ndarray) -> list[np.ndarray]:
+    """128-bit names of byte strings, as two columns; `mark` is part of the name."""
+    return [mix(h.of(h.prefix(data), start, start + size) + mark.astype(np.uint64)).view(np.int64) for h in (_hasher(1), _hasher(2))]
 
-    Without a column `blocks` there is one row for each block that holds windows of the context: `low` is the block, and the
-    name is that of the bytes that all its windows share. With it there is one row for each window of the listed blocks.
+
+def _parts(batches, *columns):
+    """Some contexts at a time: the rows, their bytes in one array, where their anchors are in it, and the asked columns."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            data = np.frombuffer(b"".join(part.column("context").to_pylist()), np.uint8)
+            yield part, data, *(part.column(c).to_numpy().astype(np.int64) for c in columns)
+
+
+def _name_blocks(length: int, step: int):
+    """Blocks of `step` offsets in which a context has windows: g, u, low, x, y, p, q, first, last.
+
+    (x, y) names the bytes that all windows of the block share, (p, q) those that the context's own windows in it cover
+    together; these are its windows `first` to `last`.
     """
+    names = ["g", "u", "low", "x", "y", "p", "q", "first", "last"]
+
+    def name(batches):
+        for part, data, w, offset in _parts(batches, "w", "o"):
+            sizes = w + length - 1
+            anchor = np.cumsum(sizes) - sizes + offset
+            first, last = (offset - w + 1) // step, offset // step
+            many = last - first + 1
+            row = np.repeat(np.arange(len(w)), many)
+            low = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[row]
+            left = low * step
+            # Equal windows of a bucket stand at the same offset from their anchor, which is part of the names.
+            core = _hashed(data, anchor[row] - left, np.full(len(row), length - step + 1), left)
+            near, far = np.maximum(left, offset[row] - w[row] + 1), np.minimum(left + step - 1, offset[row])
+            whole = _hashed(data, anchor[row] - far, far - near + length, far * 1024 + near)
+            take, narrow = pa.array(row), [low, offset[row] - far, offset[row] - near]
+            low, begin, end = (pa.array(x.astype(np.int32)) for x in narrow)
+            columns = [part.column("g").take(take), part.column("u").take(take), low, *map(pa.array, (*core, *whole)), begin, end]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return name
+
+
+def _name_windows(length: int):
+    """Windows of the listed ranges: g, u, window, x, y, where (x, y) is a 128-bit name."""
     names = ["g", "u", "low", "x", "y"]
 
     def name(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                data = np.frombuffer(b"".join(part.column("context").to_pylist()), np.uint8)
-                w, offset = (part.column(c).to_numpy().astype(np.int64) for c in ("w", "o"))
-                sizes = w + length - 1
-                anchor = np.cumsum(sizes) - sizes + offset
-                if "blocks" in part.schema.names:
-                    listed = part.column("blocks")
-                    many = np.diff(listed.offsets.to_numpy())
-                    row = np.repeat(np.arange(len(w)), many * step)
-                    o = (listed.flatten().to_numpy()[:, None].astype(np.int64) * step + np.arange(step)).ravel()
-                    inside = (o <= offset[row]) & (o > offset[row] - w[row])
-                    row, o = row[inside], o[inside]
-                    left, size, low = o, np.full(len(o), length), offset[row] - o
-                else:
-                    first, last = (offset - w + 1) // step, offset // step
-                    row = np.repeat(np.arange(len(w)), last - first + 1)
-                    low = np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[row]
-                    left = low * step
-                    size = np.full(len(row), length - step + 1)
-                start = anchor[row] - left
-                # Equal windows of a bucket stand at the same offset from their anchor, which is part of the name.
-                xy = [mix(h.of(h.prefix(data), start, start + size) + left.astype(np.uint64)).view(np.int64) for h in (_hasher(1), _hasher(2))]
-                take = pa.array(row)
-                columns = [part.column("g").take(take), part.column("u").take(take), pa.array(low.astype(np.int32)), *map(pa.array, xy)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for part, data, w, offset in _parts(batches, "w", "o"):
+            sizes = w + length - 1
+            listed = part.column("blocks")
+            blocks = np.repeat(np.arange(len(w)), np.diff(listed.offsets.to_numpy()))
+            first, last = (listed.flatten().field(c).to_numpy().astype(np.int64) for c in ("first", "last"))
+            many = last - first + 1
+            row = np.repeat(blocks, many)
+            low = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+            start = (np.cumsum(sizes) - sizes)[row] + low
+            xy = _hashed(data, start, np.full(len(row), length), offset[row] - low)
+            take = pa.array(row)
+            columns = [part.column("g").take(take), part.column("u").take(take), pa.array(low.astype(np.int32)), *map(pa.array, xy)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return name
 
 
 def _counted(large: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of buckets of any size, by counted names: first the cores of blocks of windows, then windows of those met twice."""
+    """Repeated windows of buckets of any size, by counted names.
+
+    A block whose covered bytes occur twice is repeated whole. Windows by themselves are named only where blocks share what
+    their windows have in common but not all they cover, and of equal blocks only one then stands for the others.
+    """
     step = max(1, int((length / 2) ** 0.5))
-    schema = "g long, u long, low int, x long, y long"
-
-    def twice(names: DataFrame) -> DataFrame:
-        # Written by itself, so that a very common name's rows can be split in the join.
-        common = written(names.groupBy("g", "x", "y").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-        return names.join(common, ["g", "x", "y"])
-
-    blocks = twice(large.mapInArrow(_name_windows(length, step), schema)).groupBy("g", "u").agg(F.collect_set("low").alias("blocks"))
-    windows = large.join(blocks, ["g", "u"]).select("g", "u", "o", "w", "context", "blocks")
-    found = twice(written(windows.mapInArrow(_name_windows(length, step), schema)))
-    # A context has at most length - GRAM + 1 windows, each once in `found`; those that follow one another are one range.
-    order = F.row_number().over(Window.partitionBy("g", "u").orderBy("low"))
-    runs = found.select("g", "u", "low", (F.col("low") - order).alias("run")).groupBy("g", "u", "run")
-    return runs.agg(F.min("low").alias("low"), F.max("low").alias("high")).drop("run")
+    blocks = written(large.mapInArrow(_name_blocks(length, step), "g long, u long, low int, x long, y long, p long, q long, first int, last int"))
+    # Narrow tables of counts are written by themselves, so that a very common name's rows can be split in the joins.
+    kinds = written(blocks.groupBy("g", "x", "y", "p", "q").agg(F.count("*").alias("n"), F.min(F.struct("u", "first", "last")).alias("one")))
+    settled = blocks.join(kinds.where("n > 1").select("g", "p", "q"), ["g", "p", "q"]).select("g", "u", "first", "last")
+    partly = written(kinds.groupBy("g", "x", "y").agg(F.count("*").alias("kinds")).where("kinds > 1").drop("kinds"))
+    asked = kinds.join(partly, ["g", "x", "y"]).groupBy("g", F.col("one.u").alias("u"))
+    asked = asked.agg(F.collect_list(F.struct("one.first", "one.last")).alias("blocks"))
+    windows = large.join(asked, ["g", "u"]).select("g", "u", "o", "w", "context", "blocks")
+    named = written(windows.mapInArrow(_name_windows(length), "g long, u long, low int, x long, y long"))
+    common = written(named.groupBy("g", "x", "y").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    single = named.join(common, ["g", "x", "y"]).select("g", "u", F.col("low").alias("first"), F.col("low").alias("last"))
+    # A context has at most length - GRAM + 1 windows; ranges that follow one another or overlap are one.
+    order = Window.partitionBy("g", "u").orderBy("first", "last")
+    reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("first") > reached + 1, F.lit(True)).cast("int")
+    ranges = settled.union(single).withColumn("begins", begins)
+    runs = ranges.select("g", "u", "first", "last", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    return runs.groupBy("g", "u", "run").agg(F.min("first").alias("low"), F.max("last").alias("high")).drop("run")
 
 
 def _fetch(length: int):

@@ -107,3 +107,34 @@ def test_windows_of_large_buckets_come_as_ranges(spark):
     assert found(docs, 24, gram=6, bucket=2) == brute(rows, 24)
     contexts = spark.createDataFrame([(1, i, 18, 19, text[30:72].encode()) for i, (_, text) in enumerate(rows)], "g long, u long, o int, w int, context binary")
     assert sorted(map(tuple, repeats._counted(contexts, 24).select("g", "u", "low", "high").collect())) == [(1, i, 0, 18) for i in range(40)]
+
+
+def test_equal_blocks_of_large_buckets_are_not_told_window_by_window(spark, monkeypatch):
+    """What many contexts share whole is counted by blocks; windows are named where blocks differ, once for equal ones."""
+    rng = random.Random(7)
+    named = spark.sparkContext.accumulator(0)
+    real = repeats._name_windows
+
+    def watched(*given):
+        name = real(*given)
+
+        def run(batches):
+            for batch in name(batches):
+                named.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(repeats, "_name_windows", watched)
+    shared = "".join(rng.choices("abcdefgh", k=42))
+    edits = [shared[:k] + "z" + shared[k + 1 :] for k in (0, 1, 5, 40, 41)]  # the anchor at 18 stays
+    texts = [shared[:-1] + "y", *edits, *[shared + "x" * i for i in range(200)]]
+    # 200 contexts with the same windows, and six that differ at an end.
+    contexts = spark.createDataFrame([(1, i, 18, 19, x[:42].encode()) for i, x in enumerate(texts)], "g long, u long, o int, w int, context binary")
+    got = {}
+    for r in repeats._counted(contexts, 24).collect():
+        got.setdefault(r["u"], set()).update(range(r["low"], r["high"] + 1))
+    count = Counter(x[s : s + 24] + str(s) for x in (t[:42] for t in texts) for s in range(19))
+    want = {i: {s for s in range(19) if count[x[s : s + 24] + str(s)] > 1} for i, x in enumerate(texts)}
+    assert got == {i: s for i, s in want.items() if s}
+    assert 0 < named.value < 19 * 8  # not 19 for each of 206 contexts
