@@ -84,11 +84,14 @@ def normalise_requests(replayed: DataFrame, sessions: DataFrame, salt: str) -> D
     """Typed requests with a `drift` column naming the first missing field.
 
     A request without result metadata is incomplete, not drifted, and is left out. A file
-    without a session id yields one file-level drift row. Children stay nested in `doc`.
+    without a session id yields one file-level drift row. Children stay nested in `doc`. Requests that were
+    replayed with their session ids are not joined to `sessions`.
     """
     # Exploding a one-element array keeps Spark from reading the document again per column and filter.
     doc = F.explode(F.array(F.from_json("request_json", REQUEST_JSON))).alias("doc")
-    rows = replayed.join(sessions.hint("merge"), "path").select("path", "turn_index", "source_offset", "raw_session_id", doc)
+    if "raw_session_id" not in replayed.columns:
+        replayed = replayed.join(sessions.hint("merge"), "path")
+    rows = replayed.select("path", "turn_index", "source_offset", "raw_session_id", doc)
     meta = F.col("doc.result.metadata")
     model = _text(F.coalesce(meta["resolvedModel"], F.col("doc.modelId")))
     missing = (

@@ -106,7 +106,7 @@ def _ingest(
     spark = files.sparkSession
     envelopes = written(journals.parse_envelopes(lines))
     sessions = journals.session_ids(envelopes)
-    rows = materialise(normalise.normalise_requests(journals.replay_journal(envelopes), sessions, salt))
+    rows = materialise(normalise.normalise_requests(journals.replay_journal(envelopes, sessions), sessions, salt))
     good = normalise.good(rows)
     for name, table in normalise.child_tables(good, salt).items():
         _write(table.withColumn("version", store.version_of(number)), store_root, name, number)

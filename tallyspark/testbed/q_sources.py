@@ -21,7 +21,8 @@ SALT = "pepper"
 
 def journal_lines(t):
     """Per customer: a snapshot, one append per order, and a late set on the first request."""
-    o = t.raw("orders")
+    # Orders are spread over the cores while they are narrow, not as lines.
+    o = t.raw("orders").repartition(t.spark.sparkContext.defaultParallelism, "o_orderkey")
     path = F.concat(F.lit("/home/u/workspaceStorage/ws"), F.col("o_custkey") % 20, F.lit("/chatSessions/"), F.col("o_custkey"), F.lit(".jsonl"))
     key = F.col("o_orderkey")
     meta = F.struct(F.when(key % 9 != 0, key * 10).alias("promptTokens"), (key % 500).alias("outputTokens"), F.array(
@@ -36,12 +37,14 @@ def journal_lines(t):
         F.array(F.struct(file.alias("reference"))).alias("contentReferences"))
     env = lambda **kw: F.to_json(F.struct(*[v.alias(k) for k, v in kw.items()]))
     append = o.select(path.alias("path"), (key * 10 + 10).alias("offset"), env(kind=F.lit(2), k=F.array(F.lit("requests")), v=F.array(request)).alias("line"))
-    files = o.select(path.alias("path"), "o_custkey").distinct()
-    snapshot = files.select("path", F.lit(0).cast("long").alias("offset"), F.concat(F.lit('{"kind":0,"v":{"sessionId":"s'), "o_custkey", F.lit('","requests":[]}}')).alias("line"))
-    late = files.select("path", F.lit(1 << 40).alias("offset"), F.lit('{"kind":1,"k":["requests",0,"copilotCredits"],"v":6.25}').alias("line"))
-    broken = files.select("path", F.lit((1 << 40) + 1).alias("offset"), F.lit('{"kind":1,"k":["requests",0').alias("line"))
-    odd = files.select("path", F.lit((1 << 40) + 2).alias("offset"), F.lit('{"kind":9}').alias("line"))
-    return snapshot.unionByName(append).unionByName(late).unionByName(broken).unionByName(odd)
+    files = t.raw("orders").select(path.alias("path"), "o_custkey").distinct()
+    line = lambda offset, text: F.struct(F.lit(offset).cast("long").alias("offset"), text.alias("line"))
+    others = F.array(
+        line(0, F.concat(F.lit('{"kind":0,"v":{"sessionId":"s'), "o_custkey", F.lit('","requests":[]}}'))),
+        line(1 << 40, F.lit('{"kind":1,"k":["requests",0,"copilotCredits"],"v":6.25}')),
+        line((1 << 40) + 1, F.lit('{"kind":1,"k":["requests",0')),
+        line((1 << 40) + 2, F.lit('{"kind":9}')))
+    return append.unionByName(files.select("path", F.inline(others)))
 
 
 def t_ms(column):
@@ -49,8 +52,9 @@ def t_ms(column):
 
 
 def normalised(t):
-    env = written(J.parse_envelopes(journal_lines(t).repartition(t.spark.sparkContext.defaultParallelism, "path", "offset")))
-    return N.normalise_requests(J.replay_journal(env), J.session_ids(env), SALT)
+    env = written(J.parse_envelopes(journal_lines(t)))
+    sessions = J.session_ids(env)
+    return N.normalise_requests(J.replay_journal(env, sessions), sessions, SALT)
 
 
 PLACED = """SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS turn_index,
