@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The last line; two more still fit a long.
@@ -88,18 +88,13 @@ def first_overlapping(
         F.col("_at.block").alias("_block"),
         F.col("_at.covers").alias("_covers"),
     )
-    within = listed.groupBy(*node, inner).agg(
-        F.min(label).alias("_any"),
-        F.min(F.when(F.col("_covers"), F.col(label))).alias("_cover"),
-    )
-    overall = within.groupBy(*node).agg(
-        F.min("_any").alias("_any_all"), F.min("_cover").alias("_cover_all")
-    )
-    # A cover block meets every range listed under it; an enclosing block meets covers only.
-    pick = lambda any_, cover: F.min(F.when(F.col("_covers"), F.col(any_)).otherwise(F.col(cover)))
-    return (
-        listed.join(within, [*node, inner])
-        .join(overall, node)
-        .groupBy(*keys, inner, start, end)
-        .agg(pick("_any", "_cover").alias(inner_name), pick("_any_all", "_cover_all").alias(name))
-    )
+    # Both minima are told where a block's distinct ranges meet, so that the listing is shuffled once.
+    inside, overall = Window.partitionBy(*node, inner), Window.partitionBy(*node)
+
+    def pick(over):
+        """A cover block meets every range listed under it; an enclosing block meets covers only."""
+        cover = F.min(F.when(F.col("_covers"), F.col(label))).over(over)
+        return F.when(F.col("_covers"), F.min(label).over(over)).otherwise(cover)
+
+    met = listed.repartition(*node).select(*keys, inner, start, end, pick(inside).alias("_inside"), pick(overall).alias("_overall"))
+    return met.groupBy(*keys, inner, start, end).agg(F.min("_inside").alias(inner_name), F.min("_overall").alias(name))

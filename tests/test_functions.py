@@ -112,3 +112,19 @@ def test_path_spellings_agree(spark):
     assert {r[0] for r in df.select(S.canonicalise_path(F.col("p"))).collect()} == {"c:/work/a.py"}
     odd = spark.createDataFrame([("/a/100%.txt",), ("/a/b+c.txt",)], "p string")
     assert {r[0] for r in odd.select(S.canonicalise_path(F.col("p"))).collect()} == {"/a/100%.txt", "/a/b+c.txt"}
+
+
+def test_overlap_listing_is_shuffled_once(spark):
+    """The ranges listed under their blocks meet in one shuffle, and the minima per range in a second one."""
+    rng = random.Random(11)
+    rows = sorted({(rng.choice("ab"), rng.randrange(3), low, low + rng.randrange(9)) for low in (rng.randrange(60) for _ in range(150))})
+    rows = [(*r, i * 37 % 1009) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "k string, e long, s long, t long, label long").withColumn("levels", F.lit(7))
+    out = first_overlapping(df, ["k"], "e", "s", "t", "label", "inner_first", "first", "levels")
+    got = {(r["k"], r["e"], r["s"], r["t"]): (r["inner_first"], r["first"]) for r in out.collect()}
+    meets = lambda a, b: a[0] == b[0] and a[2] <= b[3] and b[2] <= a[3]
+    want = {a[:4]: (min(b[4] for b in rows if meets(a, b) and a[1] == b[1]), min(b[4] for b in rows if meets(a, b))) for a in rows}
+    assert got == want
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    whole = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Join" not in plan and whole.count("Exchange hashpartitioning") == 2
