@@ -94,17 +94,25 @@ def latest_before(
 ) -> DataFrame:
     """As-of look-up: for each probe the greatest mark time not after it, else null.
 
-    Both inputs are reduced to distinct times first, so a burst of rows at one instant
-    counts once.
+    Probes and marks meet per key and chunk, so that probes are shuffled once; only the greatest mark of each
+    chunk is carried on to later ones.
     """
     keys = list(keys)
-    times = (
-        probes.select(*keys, ts, F.lit(None).cast("long").alias("_mark"))
-        .unionByName(marks.select(*keys, ts, F.col(ts).alias("_mark")))
-        .groupBy(*keys, ts)
-        .agg(F.max("_mark").alias("_mark"))
+    rows = (
+        probes.withColumn("_mark", F.lit(None).cast("long"))
+        .unionByName(marks.where(F.col(ts).isNotNull()).select(*keys, ts, F.col(ts).cast("long").alias("_mark")), allowMissingColumns=True)
+        .withColumn("_chunk", F.floor(F.col(ts) / chunk_ms))
     )
-    filled = running(
-        times, keys, F.floor(F.col(ts) / chunk_ms), [F.col(ts)], {name: ("max", F.col("_mark"))}
-    ).drop("_mark")
-    return probes.join(filled, [*keys, ts], "left")
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carries = (
+        rows.groupBy(*keys, "_chunk").agg(F.max("_mark").alias("_last"))
+        .select(*keys, "_chunk", F.max("_last").over(before).alias("_carry"))
+    )
+    # Times of one chunk up to the row's own, those equal to it included.
+    within = Window.partitionBy(*keys, "_chunk").orderBy(ts).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.lit(True)
+    for c in (*keys, ts):
+        known = known & F.col(c).isNotNull()
+    latest = F.when(known, F.greatest(F.max("_mark").over(within), F.col("_carry")))
+    found = rows.join(carries.hint("merge"), [*keys, "_chunk"], "left").withColumn(name, latest)
+    return found.where(F.col("_mark").isNull()).select(*probes.columns, name)

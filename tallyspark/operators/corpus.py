@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import TOP, bounded
-from ..session import materialise
+from ..session import materialise, written
 from .pricing import derive_rate_card, price_requests, spend
 
 
 # Tools whose result is the content of a file.
 READ_TOOLS = ("read_file", "get_errors")
+# Cost centres that detectors and levers look at one by one.
+CENTRES = ("Tool Definitions", "Tool Results", "Files", "System Instructions")
 
 
 @dataclass
@@ -30,6 +32,8 @@ class Corpus:
     by: list[str] = field(default_factory=list)
     commit_file: DataFrame | None = None
     question: DataFrame | None = None
+    #: Set by reports that read what requests add up to many times: it is then written once, see `sums` and `facts`.
+    shared: bool = False
 
     @cached_property
     def card(self) -> DataFrame:
@@ -92,9 +96,64 @@ class Corpus:
 
         return materialise(scan_rereads(self))
 
+    @cached_property
+    def sums(self) -> DataFrame:
+        """Rounds, complexity points and cost centres of each request id that a child table names, in one shuffle.
+
+        `points` counts 1/500 points, so that sums are exact integers; `has_i` tells rows of a centre, whose tokens may be null.
+        """
+        keys = [*self.by, "request_id"]
+        kind = self.cost_centre.schema["tokens"].dataType
+        children = (
+            self.round.select(
+                *keys, F.lit(1).alias("rounds"), (F.lit(1000) + F.coalesce("thinking_tokens", F.lit(0))).cast("long").alias("points")
+            ),
+            self.tool_call.select(*keys, F.lit(500).cast("long").alias("points")),
+            self.edit.select(*keys, (F.col("edit_count") * 1500).alias("points")),
+            self.cost_centre.select(*keys, "label", "tokens"),
+        )
+        empty = {"rounds": "int", "points": "long", "label": "string", "tokens": kind}
+        rows = None
+        for child in children:
+            row = child.select(*keys, *[c if c in child.columns else F.lit(None).cast(t).alias(c) for c, t in empty.items()])
+            rows = row if rows is None else rows.unionByName(row)
+        own = [F.col("label") == c for c in CENTRES]
+        return written(
+            rows.groupBy(*keys).agg(
+                F.sum("rounds").alias("rounds"),
+                F.sum("points").alias("points"),
+                *[F.sum(F.when(o, F.col("tokens"))).alias(f"tokens_{i}") for i, o in enumerate(own)],
+                *[(F.count(F.when(o, 1)) > 0).alias(f"has_{i}") for i, o in enumerate(own)],
+            )
+        )
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Every request with its `sums`, written once."""
+        request = self.request.select(*self.by, "request_id", "session_id", "ts", "model", "prompt_tokens", "output_tokens")
+        return written(request.join(self.sums, [*self.by, "request_id"], "left"))
+
+    def centre_tokens(self, label: str) -> DataFrame:
+        """Tokens of one cost-centre label per request."""
+        keys = [*self.by, "request_id"]
+        if self.shared:
+            i = CENTRES.index(label)
+            return self.sums.where(f"has_{i}").select(*keys, F.col(f"tokens_{i}").alias("tokens"))
+        return self.cost_centre.where(F.col("label") == label).groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
+
+    def requests_with(self, label: str) -> DataFrame:
+        """Requests that have the cost centre: keys, session, time, prompt and the centre's tokens."""
+        columns = [*self.by, "request_id", "session_id", "ts", "prompt_tokens"]
+        if self.shared:
+            i = CENTRES.index(label)
+            return self.facts.where(f"has_{i}").select(*columns, F.col(f"tokens_{i}").alias("tokens"))
+        return self.request.select(*columns).join(self.centre_tokens(label), [*self.by, "request_id"])
+
     @cached_property
     def round_counts(self) -> DataFrame:
         """Rounds per request, for requests that have any."""
+        if self.shared:
+            return self.sums.where(F.col("rounds").isNotNull()).select(*self.by, "request_id", "rounds")
         return self.round.groupBy(*self.by, "request_id").agg(F.count(F.lit(1)).alias("rounds"))
 
 

@@ -24,7 +24,7 @@ from .budget import PLAN_ALLOWANCES
 from .corpus import Corpus
 from .pricing import cheapest_measured, find_rates
 from .waste.complexity import complexity_bands, complexity_scores
-from .waste.detectors import centre_tokens, stale_turns
+from .waste.detectors import stale_turns
 
 # Tier of each lever.
 TIERS = {
@@ -89,13 +89,18 @@ def banded_requests(corpus: Corpus) -> DataFrame:
     """Requests with their complexity band and round count."""
     keys = [*corpus.by, "request_id"]
     scores = complexity_scores(corpus)
-    rows = (
-        corpus.request.select(*keys, "model", "prompt_tokens")
-        .join(scores, keys)
-        .join(corpus.round_counts, keys, "left")
-        .withColumn("rounds", F.coalesce("rounds", F.lit(0)))
-    )
-    bands = complexity_bands(corpus, scores).select(*corpus.by, "low_ceiling", "medium_ceiling")
+    if corpus.shared:
+        score = ((F.coalesce("points", F.lit(0)) + F.col("output_tokens")) / 500).alias("score")
+        rows = corpus.facts.select(*keys, "model", "prompt_tokens", score, "rounds")
+    else:
+        rows = (
+            corpus.request.select(*keys, "model", "prompt_tokens")
+            .join(scores, keys)
+            .join(corpus.round_counts, keys, "left")
+        )
+    rows = rows.withColumn("rounds", F.coalesce("rounds", F.lit(0)))
+    # One row per tenant, written once: regret and routing both look at it.
+    bands = materialise(complexity_bands(corpus, scores)).select(*corpus.by, "low_ceiling", "medium_ceiling")
     rows = attach(rows, bands, corpus.by)
     return rows.withColumn(
         "band", band_of(F.col("score"), F.col("low_ceiling"), F.col("medium_ceiling"))
@@ -196,9 +201,7 @@ def tool_trim(corpus: Corpus, policy: Policy) -> DataFrame | None:
     share = removed_tools(corpus, policy).groupBy(*by).agg(
         (F.count(F.when(F.col("removed"), 1)) / F.count(F.lit(1))).alias("share")
     )
-    rows = attach(
-        corpus.request.join(centre_tokens(corpus, "Tool Definitions"), [*by, "request_id"]), share, by
-    )
+    rows = attach(corpus.requests_with("Tool Definitions"), share, by)
     freed = F.col("tokens") * F.col("share")
     rows = rows.where((F.col("prompt_tokens") > 0) & (freed > 0))
     scale = F.greatest(F.lit(0.0), (F.col("prompt_tokens") - freed) / F.col("prompt_tokens"))
@@ -211,7 +214,7 @@ def _clamped(corpus: Corpus, chars: DataFrame, lever: str) -> DataFrame:
     Requests without that cost centre are left out by the inner join.
     """
     keys = [*corpus.by, "request_id"]
-    rows = corpus.request.join(chars, keys).join(centre_tokens(corpus, "Tool Results"), keys)
+    rows = corpus.requests_with("Tool Results").join(chars, keys)
     gone = F.least(tokens_from_chars(F.col("chars")), F.col("tokens"))
     rows = rows.where((F.col("prompt_tokens") > 0) & (F.col("chars") > 0) & (gone > 0))
     scale = F.greatest(F.lit(0.0), (F.col("prompt_tokens") - gone) / F.col("prompt_tokens"))
@@ -286,7 +289,7 @@ BANDS = ("theoretical", "low", "high")
 
 def plan_changes(corpus: Corpus, policy: Policy) -> DataFrame | None:
     """Changes of every active lever; None under a policy that changes nothing."""
-    out = None
+    out, corpus.shared = None, True
     for lever in LEVERS:
         changes = lever(corpus, policy)
         if changes is not None:

@@ -67,14 +67,25 @@ class Testbed:
         label = F.element_at(
             F.array(*[F.lit(x) for x in LABELS]), (F.col("l_linenumber") % 5 + 1).cast("int")
         )
-        per_label = self._lines.groupBy("request_id", label.alias("label")).agg(
-            F.sum("l_extendedprice").alias("part")
+        price = F.col("l_extendedprice")
+        # A request's labels are columns until it is joined, so that its lines are shuffled once.
+        held = {x: F.col("_label").eqNullSafe(F.lit(x)) for x in [*LABELS, None]}
+        per_request = self._lines.withColumn("_label", label).groupBy("request_id").agg(
+            F.sum(price).alias("whole"),
+            *[F.sum(F.when(own, price)).alias(f"_part{i}") for i, own in enumerate(held.values())],
+            *[F.count(F.when(own, 1)).alias(f"_n{i}") for i, own in enumerate(held.values())],
+        )
+        parts = F.array(
+            *[
+                F.struct(F.lit(x).cast("string").alias("label"), F.col(f"_part{i}").alias("part"), F.col(f"_n{i}").alias("n"))
+                for i, x in enumerate(held)
+            ]
         )
-        whole = self._lines.groupBy("request_id").agg(F.sum("l_extendedprice").alias("whole"))
         pct = F.col("part") * 100.0 / F.col("whole")
         return (
-            per_label.join(whole, "request_id")
-            .join(self.request.select("request_id", "prompt_tokens"), "request_id")
+            per_request.join(self.request.select("request_id", "prompt_tokens"), "request_id")
+            .select("request_id", "prompt_tokens", "whole", F.inline(parts))
+            .where(F.col("n") > 0)
             .select(
                 "request_id",
                 F.lit("prompt").alias("category"),
@@ -130,6 +141,7 @@ class Testbed:
     def edit(self) -> DataFrame:
         return (
             self._lines.where(F.col("l_returnflag") == "A")
+            .repartition("request_id")  # joins on the request that follow need no other shuffle
             .groupBy("request_id", F.col("file").alias("file_hash"))
             .agg(
                 F.count(F.lit(1)).alias("edit_count"),
@@ -157,7 +169,7 @@ class Testbed:
     def content_reference(self) -> DataFrame:
         return self._lines.select(
             "request_id", F.concat(F.lit("f"), F.col("l_suppkey") % 50).alias("file_hash")
-        ).distinct()
+        ).repartition("request_id").distinct()
 
     @cached_property
     def tracked_commit_file(self) -> DataFrame:
