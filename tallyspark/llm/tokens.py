@@ -26,6 +26,11 @@ SPACE = "Ġ"  # a space in the byte alphabet of the vocabulary
 NEW, HARD = -2, -1
 
 
+def _latin(word: str) -> bool:
+    """Whether a word of letters has Latin ones alone, that stay single letters in lower case: normalisation changes nothing else."""
+    return word.isascii() or (max(word) < "\u0250" and word.lower().isalpha())
+
+
 class Encoder:
     def __init__(self, path: str, limit: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # cores are shared out by Spark
@@ -37,13 +42,17 @@ class Encoder:
         spec, json_model = file["pre_tokenizer"] or {}, file["model"]
         kinds = [p["type"] for p in spec.get("pretokenizers", [spec]) if p]
         drops = kinds[:1] == ["Split"] and spec["pretokenizers"][0]["behavior"] == "Removed"
-        added = self.tokenizer.get_added_tokens_decoder().values()
+        decoder = self.tokenizer.get_added_tokens_decoder()
+        added = decoder.values()
+        # No piece holds the string of a special token, so one may stand between pieces.
+        alone = [(t.content, i) for i, t in decoder.items() if t.content and not (t.single_word or t.lstrip or t.rstrip or t.normalized)]
+        self.between = alone[0] if alone else None
         self.spaced = kinds == ["ByteLevel"] and spec.get("use_regex", True) and not spec.get("add_prefix_space")
         self.pieced = (self.spaced or drops) and not any(t.normalized for t in added)
         self.specials = [t.content for t in added]
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.limit = limit
-        # Words of ASCII letters by themselves: they need no pattern to be cut, and of the normalisation only the case.
+        # Words of Latin letters by themselves: they need no pattern to be cut, and of the normalisation only the case.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None if self.spaced else normalizers.Lowercase()
         self.plain.pre_tokenizer = pre_tokenizers.Sequence(
@@ -75,7 +84,7 @@ class Encoder:
         return self.flat[at], n
 
     def _encode_words(self, keys: list[str]) -> None:
-        """Store words of ASCII letters. They are encoded as one text, whose ids show where each word is."""
+        """Store words of Latin letters. They are encoded as one text, whose ids show where each word is."""
         found = self.plain.encode_batch_fast([" ".join(keys)], add_special_tokens=False)[0].ids
         ids = np.array(found, np.uint32)
         at = np.flatnonzero(self.marks[ids])
@@ -86,6 +95,14 @@ class Encoder:
 
     def _encode_each(self, keys: list[str]) -> None:
         plain = [(k.lstrip(" ") if k[:1] == " " else " " + k) if self.spaced else k for k in keys]
+        if self.between is not None:
+            # As one text, in which a special token stands between pieces: the library cuts there before anything else.
+            text, mark = self.between
+            ids = np.array(self.tokenizer.encode_batch_fast([text.join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == mark)
+            if len(at) == len(keys) - 1:
+                self._store(keys, np.delete(ids, at), np.diff(at, prepend=-1, append=len(ids)) - 1)
+                return
         found = [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self._store(keys, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
@@ -123,7 +140,7 @@ class Encoder:
         space = " " if self.spaced else ""
         for key in keys:
             if key.isalpha():
-                (simple if key.isascii() else single).append(key)
+                (simple if _latin(key) else single).append(key)
             elif key[-1:] in (",", ".") and key[:-1].isalpha() and key.lower()[:-1].isalpha():
                 joined.append((key, (key[:-1], space + key[-1])))
             else:
@@ -137,7 +154,7 @@ class Encoder:
         parts = {p for _, cut in joined for p in cut}.difference(simple, single)
         for p in parts:
             if p not in self.slots:
-                (simple if p.isalpha() and p.isascii() else single).append(p)
+                (simple if p.isalpha() and _latin(p) else single).append(p)
         if simple:
             self._encode_words(simple)
         if single:
@@ -180,10 +197,10 @@ class Encoder:
         sizes[~whole] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
         ends = sizes.cumsum()
         words = split.flatten().dictionary_encode()
-        slots = self._slots_of(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
+        slots = self._slots_of(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy(zero_copy_only=False)]
         if self.spaced and len(held):  # the first piece of a text follows no space
             first = pc.list_element(split, 0).dictionary_encode()
-            own = self._slots_of([" " + key for key in first.dictionary.to_pylist()])
+            own = self._slots_of([" " + key for key in first.dictionary.to_numpy(zero_copy_only=False).tolist()])
             slots[(ends - sizes)[~whole]] = own[first.indices.to_numpy(zero_copy_only=False)]
         hard = slots < 0
         flat, n = self._gathered(np.where(hard, 0, slots)) if len(self.starts) else (np.empty(0, np.uint32), np.zeros(len(slots), np.int64))

@@ -42,6 +42,25 @@ def test_odd_white_space_and_marks(name):
     same()
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_new_pieces_are_encoded_as_few_texts(name):
+    encoder, told = Encoder(vocabulary(name)), []
+
+    def counted(inner):
+        class Counted:
+            def encode_batch_fast(self, texts, **options):
+                told.extend(texts)
+                return inner.encode_batch_fast(texts, **options)
+
+        return Counted()
+
+    encoder.tokenizer, encoder.plain = counted(encoder.tokenizer), counted(encoder.plain)
+    texts = ["Überfluß façade naïve a1 b2% c-3 x", "ÿ ŉa ƀb don't İx ʼn 漢 ǅa ºb d4,e.\nŒuvre d5."]
+    got = encoder.encode(texts)
+    assert [g.tolist() for g in got] == plain_ids(vocabulary(name), texts)
+    assert len(told) <= 4  # words, and pieces with other signs, together; in spaced mode the first pieces once more
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 25, 32])
 def test_bits_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1003).astype(np.uint32)
