@@ -27,19 +27,16 @@ from ..session import attach
 def waste_findings(corpus: Corpus, scope: str = "shared", subjects: int = 1) -> DataFrame:
     """All findings, dearest first.
 
-    A detector that cannot be planned is left out and named in a `failed` row instead of
-    taking the report down.
+    A detector that fails stops the report and is named in the error: without it the rest would look whole.
     """
-    out, failed, corpus.shared = no_findings(corpus), [], True
+    out, corpus.shared = no_findings(corpus), True
     for name, detect in DETECTORS.items():
         try:
             out = out.unionByName(detect(corpus))
-        except Exception as error:  # noqa: BLE001 - one defect must not hide the other causes
-            failed.append((name, str(error)))
+        except Exception as error:
+            error.add_note(f"waste detector {name}")
+            raise
     out = redact_evidence(out, subjects, scope)
-    if failed:
-        row = out.sparkSession.createDataFrame(failed, "class string, title string")
-        out = out.unionByName(row.withColumn("tier", F.lit("failed")), allowMissingColumns=True)
     return out.orderBy(F.col("credits").desc(), "class")
 
 

@@ -2,11 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import simulate as X
 from tallyspark.operators.corpus import Corpus
 from tallyspark.operators.waste import complexity, rereads
+from tallyspark.plans import reports
 from tallyspark.schemas import TABLES
 from tallyspark.testbed.q_simulate import POLICY
 
@@ -76,3 +78,14 @@ def test_few_and_many_reads_give_the_same_rereads(spark, monkeypatch):
     assert found[0] and all(f == found[0] for f in found)
     counted = rereads.scan_rereads(corpus(spark)).agg(F.count(F.when(~F.col("duplicate"), 1))).first()[0]
     assert counted  # some reads follow an edit
+
+
+def test_a_failing_detector_is_no_finding(spark, monkeypatch):
+    def broken(_):
+        raise ValueError("no such column")
+
+    monkeypatch.setitem(reports.DETECTORS, "W9", broken)
+    for report in (reports.waste_findings, reports.waste_report):
+        with pytest.raises(ValueError, match="no such column") as caught:
+            report(corpus(spark))
+        assert caught.value.__notes__ == ["waste detector W9"]
