@@ -175,6 +175,40 @@ def test_back_propagation_matches_differences():
         assert seen[name][at] == pytest.approx((up - down) / 2e-4, abs=2e-3, rel=0.05)
 
 
+def test_training_documents_are_written_once_as_numbers(spark, monkeypatch):
+    kept, write = [], lm.written
+    monkeypatch.setattr(lm, "written", lambda df: kept.append(write(df)) or kept[-1])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["A b\ta", None, "x", ""] * 5)], "doc_id long, text string")
+    lm.fitted(docs, 5, 40, [b"a", b"", b"b"], lm.Network(np.array([10.0, 20.0, 5.0]), 5.0))
+    ids = {0: [-1, 0, 2, 0, 1], 1: [-1, 1], 2: [-1, lm.MODEL, 1], 3: [-1, 1]}
+    want = [ids[i % 4] for i in range(20) if not held_out(i, 5)]
+    assert sorted(np.frombuffer(r["ids"], np.int16).tolist() for r in kept[0].collect()) == sorted(want)
+    assert len(kept) == 1
+
+
+def test_steps_over_lanes_equal_single_steps():
+    rng = np.random.default_rng(3)
+    net = lm.Network(np.arange(1000, 0, -1.0), 50.0)
+    token, keep = rng.integers(0, lm.MODEL + 1, (9, 5)), rng.random((9, 5)) < 0.7
+    h = rng.standard_normal((5, lm.HIDDEN)).astype(np.float32)
+    states, gates, n, s = lm._run(net, token, keep, h)
+    for t in range(9):
+        assert states[t].T == pytest.approx(h, abs=1e-5)
+        new, *parts = lm.step(net, token[t], h)
+        assert [gates[t][: lm.HIDDEN].T, gates[t][lm.HIDDEN :].T, n[t].T, s[t].T] == [pytest.approx(x, abs=1e-5) for x in parts]
+        h = new * keep[t][:, None]
+
+
+def test_sums_far_apart_stay_finite():
+    net = lm.Network(np.arange(1000, 0, -1.0), 50.0)
+    net.cls_bias[3], net.out_bias[0, 1] = -500, 500
+    h = np.zeros((3, lm.HIDDEN), np.float32)
+    found = lm.log_probabilities(net, h, np.array([3 * lm.PER_CLASS, 0, 1]))
+    assert np.isfinite(found).all() and found[0] < -400 and found[1] < -400 and found[2] > -10
+    lm._window(net, np.array([[-1], [1], [3 * lm.PER_CLASS], [5]]), np.zeros((1, lm.HIDDEN), np.float32), lm._Adagrad())
+    assert all(np.isfinite(getattr(net, name)).all() for name in net.NAMES)
+
+
 def test_documents_are_scored_alone_and_whole():
     net = lm.Network(np.arange(1000, 0, -1.0), 50.0)
     net.out += 0.3
