@@ -81,7 +81,7 @@ def ingest_files(files: DataFrame, store_root: str, salt: str, now_ms: int | Non
     shared folder: what the manifest records is what was parsed, even if a file grows meanwhile.
     """
     number, state = _begin(files.sparkSession, store_root)
-    fresh = materialise(journals.incremental_files(files, state))
+    fresh = written(journals.incremental_files(files, state))
     return _ingest(files, fresh, journals.split_lines(fresh), store_root, number, salt, now_ms)
 
 
@@ -106,7 +106,8 @@ def _ingest(
     spark = files.sparkSession
     envelopes = written(journals.parse_envelopes(lines))
     sessions = journals.session_ids(envelopes)
-    rows = materialise(normalise.normalise_requests(journals.replay_journal(envelopes, sessions), sessions, salt))
+    # Each child table below reads its own columns of them.
+    rows = written(normalise.normalise_requests(journals.replay_journal(envelopes, sessions), sessions, salt))
     good = normalise.good(rows)
     for name, table in normalise.child_tables(good, salt).items():
         _write(table.withColumn("version", store.version_of(number)), store_root, name, number)

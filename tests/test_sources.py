@@ -5,6 +5,7 @@ import os
 import random
 from urllib.parse import unquote
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,20 @@ def test_session_ids_come_with_the_places_of_requests(spark, tmp_path):
     assert got == want and len(got) == 3
     assert [r["drift"] for r in direct.where("request_id = 'q2'").collect()] == [N.FILE_DRIFT]
     assert "Join" not in direct._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_many_files_are_handed_over_together(monkeypatch):
+    files = {f"f{i}": [b"", b"a\n\nb\r\n", b"c\r", "é\nx".encode()][i % 4] for i in range(300)}
+    batch = pa.RecordBatch.from_arrays([pa.array(files), pa.array(files.values(), pa.binary())], ["path", "content"])
+    kinds = [[], [(0, "a"), (3, "b")], [(0, "c\r")], [(0, "é"), (3, "x")]]
+    want = [(f"f{i}", *line) for i in range(300) for line in kinds[i % 4]]
+    told = lambda found: [tuple(r.values()) for b in found for r in b.to_pylist()]
+    whole = list(J._split(iter([batch, batch])))
+    assert len(whole) == 1 and told(whole) == want + want
+    monkeypatch.setattr(J, "SPLIT_LINES", 7)
+    few = list(J._split(iter([batch])))
+    assert told(few) == want and max(b.num_rows for b in few) == 7
+    monkeypatch.setattr(J, "SPLIT_BYTES", 2)
+    small = list(J._split(iter([batch])))
+    assert told(small) == want and max(b.num_rows for b in small) == 2
+    assert sum(b.num_rows for b in J._split(iter([]))) == 0
